@@ -1,12 +1,18 @@
 """The queries of this subpackage and their SQL, for the registry at the top of the repository."""
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .packing import op6_packing
+from .piece_codec import op5_piece_codec
 from .quality import op9_quality_rules
+from .token_counts import op10_token_counts
 from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op5_piece_codec": op5_piece_codec,
+    "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 SQL = {"op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
