@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Word separators of all contracts: space and the characters 0x09 to 0x0D.
@@ -50,3 +51,21 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = f"_{base}"
     return base
+
+
+#: A table is broadcast up to this many rows of a few numbers each; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def attach(left: DataFrame, right: DataFrame, on: str, spread: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """left outer join of left with right, which has few columns and each value of `on` once.
+
+    One value may hold a third of left: a right side of proven size is broadcast, a larger one is repeated for
+    each salt, and left is dealt by `on` and a salt from its column `spread`.
+    """
+    if right.count() <= broadcast_rows:
+        return left.join(F.broadcast(right), on, "left")
+    salt = free_name(left, "salt")
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(salted, [on, salt], "left").drop(salt)
