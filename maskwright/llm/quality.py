@@ -112,7 +112,7 @@ def assess(
     min_words: int = MIN_WORDS,
     min_docs: int = MIN_DOCS,
 ) -> DataFrame:
-    """id_cols, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept."""
+    """A struct ``id`` of id_cols, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept."""
     rows = docs.select(F.struct(*id_cols).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
     counted = histograms(base_counts(rows, "text"), "text").withColumn("n_symbols", F.regexp_count("text", F.lit("[#*$%&|<>]")))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -129,9 +129,14 @@ def assess(
     scored = scored.withColumn("word_distance", js_distance(F.col("common"), F.coalesce("own_common", fixed(whole["common"]))))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
-    return scored.select("id.*", *measures, failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"))
+    return scored.select("id", *measures, failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
+    """The rows of docs that pass."""
+    return assess(docs, docs.columns, text_col, lang_col, **limits).filter("kept").select("id.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return assess(docs, ["doc_id"]).drop("class_distance", "word_distance")
+    return assess(docs, ["doc_id"]).select("id.*", "*").drop("id", "class_distance", "word_distance")

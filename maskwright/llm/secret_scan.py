@@ -17,13 +17,16 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import attach, materialize, shared_dir, table
 
 RULE_VERSION = "1"
+MARKER = "[SECRET]"
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -68,7 +71,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules: str = RULE_VERSION) -> DataFrame:
+def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules: str = RULE_VERSION, id_col: str = "doc_id") -> DataFrame:
     """versions with one column more, the struct ``secrets``. Appends to the ledger, a path, what it had not seen."""
     spark = versions.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -79,10 +82,42 @@ def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules: str =
     known = not seen.isEmpty()
     fresh = blobs.join(seen, "blob", "left_anti") if known else blobs
     scan_blobs(fresh, rules).write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger).filter(F.col("rules") == rules).drop("rules").dropDuplicates(["blob"])
-    each = versions.select(F.struct(*versions.columns).alias("row"), F.unhex(F.sha2(text, 256)).alias("blob"))
-    names = [c for c in found.columns if c != "blob"]
-    return each.join(found, "blob", "left").select("row.*", F.struct("blob", *names).alias("secrets"))
+    # most blobs hold no secret: only the others are joined back
+    found = read_ledger(spark, ledger).filter((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules").dropDuplicates(["blob"])
+    found = materialize(found, "found")
+    each = versions.select(F.struct(*versions.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("blob"))
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_assign", "n_access", "n_hex")]
+    empty = F.coalesce("base_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("base_sha256")
+    spans = F.coalesce("spans", F.lit("")).alias("spans")
+    return attach(each, found, "blob", "id").select("row.*", F.struct("blob", *counts, empty, spans).alias("secrets"))
+
+
+def without_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """text with each run of overlapping spans replaced by the marker."""
+    out = []
+    for t, listed in zip(text, spans, strict=True):
+        if t is None or not listed:
+            out.append(t)
+            continue
+        parts, at = [], 0
+        for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in listed.split(",")):
+            if start >= at:
+                parts += [t[at:start], MARKER]
+            at = max(at, end)
+        out.append("".join([*parts, t[at:]]))
+    return pd.Series(out, dtype=object)
+
+
+def redact(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with every secret in their text replaced by ``[SECRET]``, and its length brought up to date."""
+    found = scan(docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), ledger, "text", id_col="id")
+    hit = F.col("secrets.spans") != ""
+    # texts without secrets are not sent to Python
+    replaced = F.pandas_udf(without_spans, T.StringType())
+    clean = F.when(hit, replaced(F.when(hit, F.col("text")), F.col("secrets.spans"))).otherwise(F.col(f"doc.{text_col}"))
+    marked = found.select("doc", hit.alias("hit"), clean.alias("clean"))
+    change = {text_col: F.col("clean"), length_col: F.when(F.col("hit"), F.length("clean")).otherwise(F.col(f"doc.{length_col}"))} if length_col in docs.columns else {text_col: F.col("clean")}
+    return marked.select(*(change[c].cast(docs.schema[c].dataType).alias(c) if c in change else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
