@@ -69,3 +69,17 @@ def attach(left: DataFrame, right: DataFrame, on: str, spread: str, broadcast_ro
     salt = free_name(left, "salt")
     salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
     return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(salted, [on, salt], "left").drop(salt)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, and let Spark drop the shuffle files that nothing refers to any more."""
+    import gc
+
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

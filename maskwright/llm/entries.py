@@ -9,6 +9,7 @@ from .piece_codec import op5_piece_codec
 from .quality import op9_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash import op2_simhash
+from .substring_dedup import op4_substring_dedup
 from .token_counts import op10_token_counts
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
