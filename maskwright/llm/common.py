@@ -67,7 +67,7 @@ def attach(left: DataFrame, right: DataFrame, on: str, spread: str, broadcast_ro
     if right.count() <= broadcast_rows:
         return left.join(F.broadcast(right), on, "left")
     salt = free_name(left, "salt")
-    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = right.withColumn(salt, F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS)))))
     return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(salted, [on, salt], "left").drop(salt)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import attach, materialize, table
 
 SALTS = 16
 #: Groups of copies are broadcast up to this many (about 60 bytes each); beyond, the join is salted.
@@ -54,11 +54,8 @@ def label_copies(
     mine = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
     if collided:
         joined = mine.join(full.filter("group_size > 1"), ["digest", "text"], "left")  # two texts share a digest
-    elif groups.count() <= broadcast_groups:
-        joined = mine.drop("text").join(F.broadcast(groups), "digest", "left")
     else:
-        spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
-        joined = mine.drop("text").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(spread, ["digest", "salt"], "left")
+        joined = attach(mine.drop("text"), groups, "digest", "id", broadcast_groups)
     grouped = F.col("group_size").isNotNull()
     found = F.struct(
         F.when(grouped, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
