@@ -6,7 +6,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op1_language_id
 from .packing import op6_packing
 from .piece_codec import op5_piece_codec
-from .quality import op9_quality_rules
+from .quality import OP9_SQL, op9_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash import op2_simhash
 from .substring_dedup import op4_substring_dedup
@@ -26,6 +26,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -140,3 +140,47 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return assess(docs, ["doc_id"]).select("id.*", "*").drop("id", "class_distance", "word_distance")
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+), wins AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n
+  FROM (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i+4])) AS win FROM d WHERE len(ws) >= 5)
+), again AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM wins WHERE n > 1) GROUP BY r
+), m AS (
+  SELECT d.r, doc_id, lang, t, ws, len(ws) AS n_words, length(list_aggregate(list_concat([''], ws), 'string_agg', '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN again USING (r)
+), c AS (
+  SELECT *, list_concat(list_transform([{", ".join("'" + c + "'" for c in CLASSES)}], lambda x: length(t) - length(regexp_replace(t, x, '', 'g'))), [length(t) - word_chars]) AS counted,
+         list_transform([{", ".join(f"'{w}'" for w in WORDS)}], lambda x: len(list_filter(ws, lambda y: y = x))) AS known
+  FROM m
+), h AS (
+  SELECT *, list_concat(counted, [length(t) - list_sum(counted)])::DOUBLE[] AS classes, list_concat(known, [n_words - list_sum(known)])::DOUBLE[] AS common FROM c
+), cells AS (
+  SELECT lang, 'class' AS kind, unnest(range(1, len(classes) + 1)) AS i, unnest(classes) AS v FROM h
+  UNION ALL SELECT lang, 'word', unnest(range(1, len(common) + 1)), unnest(common) FROM h
+), big AS (SELECT lang FROM h WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_DOCS}),
+refs AS (SELECT lang, kind, list(v ORDER BY i) AS ref FROM (SELECT lang, kind, i, sum(v) AS v FROM cells WHERE lang IN (FROM big) GROUP BY ALL) GROUP BY ALL),
+pooled AS (SELECT kind, list(v ORDER BY i) AS ref FROM (SELECT kind, i, sum(v) AS v FROM cells GROUP BY ALL) GROUP BY ALL),
+paired AS (
+  SELECT h.*, coalesce(a.ref, pa.ref) AS cref, coalesce(b.ref, pb.ref) AS wref
+  FROM h LEFT JOIN refs a ON a.lang = h.lang AND a.kind = 'class' LEFT JOIN refs b ON b.lang = h.lang AND b.kind = 'word'
+  LEFT JOIN pooled pa ON pa.kind = 'class' LEFT JOIN pooled pb ON pb.kind = 'word'
+), far AS (
+  SELECT *, <class> AS class_distance, <word> AS word_distance FROM paired
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (class_distance > {MAX_CLASS_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE})) AS kept
+FROM (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM far)
+"""
+DISTANCE_SQL = """CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(list_sum(list_transform(list_zip({a}, {b}), lambda x:
+  (CASE WHEN x[1] > 0 THEN x[1] / list_sum({a}) * log2(x[1] / list_sum({a}) / ((x[1] / list_sum({a}) + x[2] / list_sum({b})) / 2)) ELSE 0 END
+ + CASE WHEN x[2] > 0 THEN x[2] / list_sum({b}) * log2(x[2] / list_sum({b}) / ((x[1] / list_sum({a}) + x[2] / list_sum({b})) / 2)) ELSE 0 END) / 2)), 0)) ELSE 0 END"""
+OP9_SQL = OP9_SQL.replace("<class>", DISTANCE_SQL.format(a="classes", b="cref")).replace("<word>", DISTANCE_SQL.format(a="common", b="wref"))
