@@ -113,8 +113,8 @@ class Leaves:
                 self.text.append(text)
                 self.size += len(text)
 
-    def repeated(self) -> Iterator[tuple[tuple, int]]:
-        """(tag, start before the anchor) of each window that starts elsewhere too."""
+    def repeated(self) -> Iterator[tuple[tuple, int, int]]:
+        """(tag, least and largest start before the anchor) of each run of windows that start elsewhere too."""
         text = "".join(self.text)
         codes = {c: i for i, c in enumerate(sorted(set(text)))}
         order = suffix_array([codes[c] for c in text])
@@ -128,10 +128,12 @@ class Leaves:
                 size = self.starts[own[p]][5]
                 if size == self.starts[own[q]][5] and text[p : p + size] == text[q : q + size]:
                     twice[p] = twice[q] = True
-        for p in np.flatnonzero(twice).tolist():
-            at, _, left, tag, lo, _ = self.starts[own[p]]
+        at = np.flatnonzero(twice)
+        breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
+        for run in np.split(at, breaks) if len(at) else ():
+            start, _, left, tag, lo, _ = self.starts[own[run[0]]]
             if tag is not None:
-                yield tag, left - (p - at) + lo
+                yield tag, int(left - (run[-1] - start) + lo), int(left - (run[0] - start) + lo)
         self.clear()
 
 
@@ -275,7 +277,7 @@ def settle_groups(items: DataFrame, length: int) -> DataFrame:
         leaves, held, group, last = Leaves(length), {}, [], None
 
         def flush() -> list[tuple]:
-            return [(tag, start, start) for tag, start in leaves.repeated()] if leaves.size else []
+            return list(leaves.repeated()) if leaves.size else []
 
         def emit(found: list[tuple]) -> pa.RecordBatch:
             # tags: (id, th, a, lead, number of bytes)
@@ -320,8 +322,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         settled = materialize(settle_groups(small, length), "settled")
         ranges = ranges.unionByName(settled)
         if none:
+            discard(items, large)
             return ranges
         halves = materialize(halve(items.join(large, "h", "left_semi"), length), "halves")
+        discard(items, large)
         classes = materialize(classify(halves.withColumnRenamed("need", "was"), "kinds"), "classes")
         whole = classes.filter(F.col("full") & F.col("was"))
         low = F.col("a") - F.least("hi", "lead")
