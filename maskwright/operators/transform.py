@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical_text, mask, shift
-from ..plans.schema import DELETED, INDEX, KEEP, MASKED, PSEUDONYMIZE, SHIFT, FieldFact, Table
+from ..plans.schema import INDEX, MASKED, PSEUDONYMIZE, SHIFT, FieldFact, Table
 
 #: Mappings are broadcast up to this many pairs; beyond, Spark chooses a join by shuffle.
 BROADCAST_PAIRS = 200_000

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +21,12 @@ from ..operators import allocate, capacity, evidence, observe, transform, verify
 from ..operators.transform import BROADCAST_PAIRS, FieldPlan
 from ..sources.dataset import inventory, output_fingerprint, read_dataset, schema_fingerprint, source_fingerprint, write_table
 from ..sources.shared import Files
-from ..sources.vault import Vault, now
+from ..sources.vault import TABLES, Vault, now
 from .errors import EngineError
 from .policy import canonical_json, digest, policy_fingerprint, resolve_policy, unique_json
-from .progress import Event, Progress
+from .progress import PHASES, Event, Progress
 from .relations import TEMPORAL_DOMAIN, TEXT_DOMAIN, Relation, assurance_level, document_fingerprint, effective, numeric_domains, parse_document
-from .schema import KEEP, MASKED, PSEUDONYMIZE, SHIFT, SYSTEM, UNSAFE, Dataset, FieldFact, classify_field
+from .schema import PSEUDONYMIZE, SHIFT, SYSTEM, UNSAFE, Dataset, FieldFact, classify_field
 
 Callback = Callable[[Event], None] | None
 Cancel = Callable[[], bool] | None
@@ -226,7 +226,7 @@ def pass_one(spark: SparkSession, plan: Plan, dataset: Dataset, vault: Vault, wa
         ledger = [
             (fields[f.table][f.fact.name], tables[f.table], f.fact.name, f.fact.dbf_type, f.fact.encoding, f.fact.width, f.action, f.domain) for f in plan.fields
         ]
-        make = lambda rows, name: spark.createDataFrame(rows, __import__("maskwright.sources.vault", fromlist=["TABLES"]).TABLES[name])
+        make = lambda rows, name: spark.createDataFrame(rows, TABLES[name])
         new = {
             "mapping_domains": make(domains, "mapping_domains"),
             "tables": make([(tables[t.path], t.path, schema_fingerprint(t.facts), plan.source_fingerprint) for t in dataset], "tables"),
@@ -542,10 +542,4 @@ def verify_bundle(spark: SparkSession, bundle: str) -> dict:
 
 
 def capabilities(recovery_enabled: bool = True) -> dict:
-    return {"package_version": __version__, "direct_read": True, "direct_write": True, "recovery": recovery_enabled, "transfer_bundle": True, "vfp_index_backend": False, "phases": len(PHASES_OF())}
-
-
-def PHASES_OF() -> tuple[str, ...]:
-    from .progress import PHASES
-
-    return PHASES
+    return {"package_version": __version__, "direct_read": True, "direct_write": True, "recovery": recovery_enabled, "transfer_bundle": True, "vfp_index_backend": False, "phases": len(PHASES)}
