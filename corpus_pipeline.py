@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialize, shared_dir, table, workers_see_package
 from maskwright.llm.exact_dedup import deduplicate

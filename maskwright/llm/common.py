@@ -12,7 +12,6 @@ from ..sources.shared import materialize, shared_dir  # noqa: F401  used by ever
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Word separators of all contracts: space and the characters 0x09 to 0x0D.
-BLANKS = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 

@@ -37,7 +37,6 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = range(model.vocab_size())
-        special = [i for i in size if model.is_control(i) or model.is_unknown(i)]
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         plain = {model.id_to_piece(i): i for i in size if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         self.single = {p: i for p, i in plain.items() if len(p) == 1}
@@ -59,13 +58,11 @@ class Codec:
             raise ValueError("pieces with a word mark after another character are not supported")
         breaks = "" if any("\n" in p for p in joined) else "\n"
         self.unit = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" + (f"|{breaks}" if breaks else ""))
-        self.letters: dict[str, int] = {}
         self.bytes_of = [b""] * len(size)
         for piece, i in plain.items():
             self.bytes_of[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids.tolist()):
             self.bytes_of[i] = bytes([b])
-        self.special = set(special)
         self.known = Bounded(CACHE)  # unit -> number of ids, ids as text, bytes
         if self.ids(PROBE) != model.encode(PROBE):
             raise ValueError("this model's normaliser or kind is not supported")

@@ -12,8 +12,6 @@ Windows of five words are compared by 64-bit hash and, where hashes agree, word
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +77,7 @@ def histograms(df: DataFrame, text: str) -> DataFrame:
     out = out.withColumn("classes", F.concat("some", F.array(F.length(text) - total)))
     known = F.filter("words", lambda w: w.isin(WORDS))
     place = F.array(*map(F.lit, WORDS))
-    marks = F.array_join(F.transform(known, lambda w: F.substring(F.lit("".join(MARKS)), 1, 1) if not WORDS else F.lit("".join(MARKS)).substr(F.array_position(place, w).cast("int"), F.lit(1))), "")
+    marks = F.array_join(F.transform(known, lambda w: F.lit("".join(MARKS)).substr(F.array_position(place, w).cast("int"), F.lit(1))), "")
     out = out.withColumn("marks", marks)
     each = [F.length("marks") - F.length(F.replace(F.col("marks"), F.lit(m), F.lit(""))) for m in MARKS]
     return out.withColumn("common", F.array(*each, F.col("n_words") - F.length("marks")))
