@@ -15,6 +15,7 @@ row; repeated rows and null ids are packed as documents of their own; an empty t
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,11 @@ from .token_counts import slices, tokenizer_path
 
 VOCABULARY, END_ID, LENGTH, GROUP = "word_bpe_49k.json", 2, 4096, 8192
 CACHE = 250_000
-CHUNK = re.compile("[^ \t\n\r\x0b\x0c]+")
+BLANK, LETTER = " \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word without its closing mark, the mark, or anything else between blanks: no token goes across these cuts.
+CHUNK = re.compile(f"[{LETTER}]+(?=[.,;:!?]?(?:[{BLANK}]|$))|(?<=[{LETTER}])[.,;:!?](?=[{BLANK}]|$)|[^{BLANK}]+")
+#: Chunks given to the tokenizer at once; what it returns for each is large.
+LEARN = 5_000
 PIECE = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
@@ -44,6 +49,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,8 +65,10 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         listed = list(chunks)
-        for chunk, found in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            self.known[chunk] = self.raw(found.ids)
+        for at in range(0, len(listed), LEARN):
+            part = listed[at : at + LEARN]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = self.raw(found.ids)
 
     def join(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks))
