@@ -308,7 +308,11 @@ def settle_groups(items: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """docs (id, th, raw) -> (id, th, s, e): byte ranges that cover exactly the repeated bytes."""
-    found = materialize(find_anchors(docs, length, gram), "anchors")
+    every = materialize(find_anchors(docs, length, gram), "anchors")
+    # most anchors are alone: they go before surroundings are compared
+    twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
+    found = materialize(every.join(twice, "h", "left_semi"), "found")
+    discard(every, twice)
     first = materialize(classify(found, "kinds").select("h", "c", "id", "th", "a", "full", "open", "need", "kinds"), "classes")
     discard(found)
     ranges = first.filter("full").select("id", "th", F.greatest(F.col("a") - (length - gram), F.lit(0)).alias("s"), (F.col("a") + length).alias("e"))
