@@ -33,10 +33,11 @@ from .common import free_name, materialize, table
 from .token_counts import slices, tokenizer_path
 
 VOCABULARY, END_ID, LENGTH, GROUP = "word_bpe_49k.json", 2, 4096, 8192
-CACHE = 250_000
+CACHE = 350_000
 BLANK, LETTER = " \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A word without its closing mark, the mark, or anything else between blanks: no token goes across these cuts.
 CHUNK = re.compile(f"[{LETTER}]+(?=[.,;:!?]?(?:[{BLANK}]|$))|(?<=[{LETTER}])[.,;:!?](?=[{BLANK}]|$)|[^{BLANK}]+")
+WORD = re.compile(f"[{LETTER}]+")
 #: Chunks given to the tokenizer at once; what it returns for each is large.
 LEARN = 5_000
 PIECE = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -64,11 +65,15 @@ class ChunkEncoder:
         return np.array(ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        listed = list(chunks)
+        # the vocabulary is lower case: words that differ in case only are encoded once
+        forms = {c: c.lower() if WORD.fullmatch(c) else c for c in chunks}
+        listed = [f for f in dict.fromkeys(forms.values()) if f not in self.known]
         for at in range(0, len(listed), LEARN):
             part = listed[at : at + LEARN]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = self.raw(found.ids)
+            for form, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[form] = self.raw(found.ids)
+        for chunk, form in forms.items():
+            self.known[chunk] = self.known[form]
 
     def join(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks))
@@ -82,7 +87,8 @@ class ChunkEncoder:
         out = [self.join(c) for c in cut]
         for chunk in unseen:
             if len(chunk) > 64:
-                del self.known[chunk]
+                self.known.pop(chunk, None)
+                self.known.pop(chunk.lower(), None)
         return out
 
 
