@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.common import materialize, shared_dir, table, workers_see_package
 from maskwright.llm.exact_dedup import deduplicate
+from maskwright.llm.near_copies import drop_similar
 from maskwright.llm.packing import VOCABULARY, pack
 from maskwright.llm.quality import keep_good
 from maskwright.llm.secret_scan import redact
-from maskwright.llm.simhash import drop_near_copies
 from maskwright.llm.token_counts import tokenizer_path
 
 
@@ -30,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_see_package(spark)
-    return drop_near_copies(docs).select(docs.columns)
+    return drop_similar(docs).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("secret_scan", secret_scan),
     ("packing", packing),
 ]
-#: SimHash components, scans and packing are beyond SQL; tests/llm holds the pipeline against a plain version.
+#: Near-copy components, scans and packing are beyond SQL; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
 
 
