@@ -54,12 +54,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     part = labelled.filter(F.col("lang").isin(langs)).filter(unit <= F.element_at(share, F.col("lang")))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counted = materialize(part.select("lang", F.explode(found).alias("entry")).groupBy("lang", "entry").agg(F.count("*").alias("n")), "words")
-    padded = F.concat(F.lit(" "), F.substring("entry", 1, 64), F.lit(" "))
-    cut = F.flatten(F.array(*(
-        F.transform(F.filter(F.sequence(F.lit(1), F.length(padded)), lambda i, k=k: i <= F.length(padded) - (k - 1)), lambda i, k=k: F.substring(padded, i, F.lit(k)))
-        for k in range(1, LONGEST + 1)
-    )))
-    parts = counted.select("lang", "n", F.explode(cut).alias("entry")).filter("entry != ' '").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    # runs of letters are cut whole: in windows of 64 starts, each with the letters that its last n-grams reach into
+    windows = F.regexp_extract_all(F.concat(F.lit(" "), "entry", F.lit(" ")), F.lit(f"(?=(.{{1,{63 + LONGEST}}})).{{1,64}}"), F.lit(1))
+    spread = counted.select("lang", "n", F.explode(windows).alias("window"))
+    starts = F.sequence(F.lit(1), F.least(F.length("window"), F.lit(64)))
+    # lambdas of one argument: a second one would be given the index
+    grams_of = lambda k: F.transform(F.filter(starts, lambda i: i <= F.length("window") - (k - 1)), lambda i: F.substring("window", i, F.lit(k)))
+    cut = F.flatten(F.array(*(grams_of(k) for k in range(1, LONGEST + 1))))
+    parts = spread.select("lang", "n", F.explode(cut).alias("entry")).filter("entry != ' '").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
     return {"langs": langs, "words": log_frequencies(counted, langs, words), "grams": log_frequencies(parts, langs, grams)}
 
 

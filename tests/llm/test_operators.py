@@ -385,3 +385,14 @@ def test_attach_by_salt(spark):
 
 def test_registry():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and set(SQL) <= set(QUERIES)
+
+
+def test_language_learns_ngrams_of_whole_runs(spark):
+    run = "".join("abcdefghij"[(i * i + i // 7) % 10] for i in range(150)) + "xyz"
+    for text in (run, run[:62], run[:63], run[:64], run[:65], run[:128], "ab"):
+        model = fit(docs(spark, [text], ["zh"]))
+        padded = f" {text} "
+        want = Counter(padded[i : i + k] for k in range(1, 5) for i in range(len(padded) - k + 1) if padded[i : i + k] != " ")
+        index, logs = model["grams"]
+        counts = np.array([want[g] for g in index])
+        assert set(index) == set(want) and np.allclose(logs[:, 0], np.log((counts + 0.5) / (counts.sum() + 0.5 * len(index))))
