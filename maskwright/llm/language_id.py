@@ -6,8 +6,8 @@ longest known ones first: at each position the longest known n-gram counts, with
 down. A document's score is the posterior of the best language under the mean log likelihood of its words.
 
 Bounds: the fit counts about ``FIT_ROWS`` labelled documents per language, picked by a hash of the text, and keeps the
-``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each of at most ``LANGUAGES`` languages, so the model
-has a bounded size and is broadcast.
+``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language, so the model is broadcast. Every language of the labels is learned; the
+model's rows have one number for each.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where nothing could
 be learned; of equal scores the language first in order wins; rows with a null language are not learned from.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .array_bpe import Bounded
 from .common import materialize, table
 
-FIT_ROWS, WORDS, GRAMS, LANGUAGES = 20_000, 20_000, 20_000, 200
+FIT_ROWS, WORDS, GRAMS = 20_000, 20_000, 20_000
 LONGEST = 4
 #: Log penalty of an unseen word, and of each n-gram length below the longest.
 UNSEEN, STEP = math.log(0.1), math.log(0.4)
@@ -45,13 +45,14 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
     """{"langs": [...], "words": (index, matrix), "grams": (index, matrix)}, of bounded size."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
+    sizes = materialize(sizes, "languages")
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not langs:
         return {"langs": [], "words": ({}, np.zeros((0, 0))), "grams": ({}, np.zeros((0, 0)))}
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["docs"])))))
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(rows) / F.col("docs")).alias("share"))
     unit = F.xxhash64("text") / F.lit(float(2**64)) + 0.5
-    part = labelled.filter(F.col("lang").isin(langs)).filter(unit <= F.element_at(share, F.col("lang")))
+    part = labelled.join(F.broadcast(share), "lang").filter(unit <= F.col("share"))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counted = materialize(part.select("lang", F.explode(found).alias("entry")).groupBy("lang", "entry").agg(F.count("*").alias("n")), "words")
     # runs of letters are cut whole: in windows of 64 starts, each with the letters that its last n-grams reach into

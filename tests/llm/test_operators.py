@@ -396,3 +396,12 @@ def test_language_learns_ngrams_of_whole_runs(spark):
         index, logs = model["grams"]
         counts = np.array([want[g] for g in index])
         assert set(index) == set(want) and np.allclose(logs[:, 0], np.log((counts + 0.5) / (counts.sum() + 0.5 * len(index))))
+
+
+def test_language_keeps_every_label(spark):
+    labels = [f"l{i:03}" for i in range(203)]
+    words = ["".join(chr(97 + int(c)) for c in f"{i:03}") for i in range(203)]
+    model = fit(docs(spark, [f"{w} {w}" for w in words], labels))
+    assert model["langs"] == labels
+    found = predict(docs(spark, words, labels), model).collect()
+    assert all(r["lang_pred"] == labels[r["doc_id"]] for r in found)
