@@ -10,6 +10,8 @@ a better rank. Pairs for which it can are known beforehand (``alone``); of those
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 SHIFT = 22  # symbols are below 2**22
@@ -82,12 +84,25 @@ class Merges:
 
 
 class Bounded(dict):
-    """A cache for one worker, emptied when it holds more than `most` entries, so that memory stays bounded."""
+    """A cache for one worker: two generations of at most `most` entries each, so that memory stays bounded.
+
+    A full generation becomes the old one; what is met again moves to the young one, so frequent entries stay.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.old = most, {}
 
     def make_room(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
+
+    def missing(self, keys: Iterable) -> set:
+        """Of keys those that neither generation holds; all others are in the young one afterwards."""
+        fresh = set(keys).difference(self)
+        if self.old:
+            met = [k for k in fresh if k in self.old]
+            self.update(zip(met, map(self.old.__getitem__, met), strict=True))
+            fresh.difference_update(met)
+        return fresh

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir  # noqa: F401  used by every operator
@@ -35,6 +35,16 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: list[str]) -> Column:
+    """The columns as one struct, so that no name of theirs clashes with one of ours."""
+    return F.struct(*map(column, names))
+
+
 #: A table is broadcast up to this many rows of a few numbers each; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 SALTS = 16

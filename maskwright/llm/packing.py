@@ -1,16 +1,17 @@
 """Packing token sequences by first-fit decreasing over a tournament tree, in randomised groups of documents.
 
 First each document is turned into ids and cut: whole sequences of ``length`` ids, and a rest. Where the cuts
-fall doesn't depend on the packing, so pieces and their checksums are made in one pass over the texts and
+fall doesn't depend on the packing, so pieces and their checksums are made in one pass over the texts, numbered and
 written to the shared folder. Whole pieces are sequences of their own; the rests are dealt by a hash of their
-row into groups of about ``GROUP`` rests and packed there, longest first, each into the first bin with room,
+number into groups of about ``GROUP`` rests and packed there, longest first, each into the first bin with room,
 which a tournament tree over the bins' free space finds in logarithmic time.
 
 A sequence is padded to ``length``, unless its length is a power of two: then it stays as it is
 (``padded_length``).
 
 Defined cases: a null or empty text is the end id alone; documents of equal length are packed in order of their
-row; repeated rows and null ids are packed as documents of their own; an empty table gives no pieces.
+number; repeated rows and null ids are packed as documents of their own; an empty table gives no pieces; other columns
+are passed through whatever their names, and the new one is ``piece`` with underscores before it if that is taken.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,9 +28,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .array_bpe import Bounded
-from .common import free_name, materialize, table
+from .common import column, free_name, materialize, packed, table
 from .token_counts import slices, tokenizer_path
 
 VOCABULARY, END_ID, LENGTH, GROUP = "word_bpe_49k.json", 2, 4096, 8192
@@ -39,8 +41,12 @@ BLANK, LETTER = " \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(f"[{LETTER}]+(?=[.,;:!?]?(?:[{BLANK}]|$))|(?<=[{LETTER}])[.,;:!?](?=[{BLANK}]|$)|[^{BLANK}]+")
 WORD = re.compile(f"[{LETTER}]+")
 #: Chunks given to the tokenizer at once; what it returns for each is large.
-LEARN = 5_000
-PIECE = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
+LEARN = 20_000
+#: Words given to it as one line.
+LINE = 100
+#: Fixed value: the mark of a token that ends a word.
+WORD_END = "</w>"
+PROBE = "a bcd naïve straßenbahn çà ÿ éèê internationalisierung"
 
 
 class ChunkEncoder:
@@ -51,11 +57,18 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a word in lower case needs no normaliser, and is one pre-token
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.known = Bounded(CACHE)  # chunk -> ids as little-endian unsigned 32-bit integers
-        probe = "Don't  PANIC:\té́ x1 42,\n\n<|endoftext|> ´s  '"
+        probe = f"{PROBE} {PROBE.upper()} Don't  PANIC:\té́ x1 42,\n\n<|endoftext|> ´s  '"
         self.learn(set(CHUNK.findall(probe)))
         if self.join(CHUNK.findall(probe)) != self.raw(self.tokenizer.encode(probe, add_special_tokens=False).ids):
             raise ValueError("this vocabulary has tokens that cross blanks")
@@ -64,16 +77,34 @@ class ChunkEncoder:
     def raw(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        # the vocabulary is lower case: words that differ in case only are encoded once
-        forms = {c: c.lower() if WORD.fullmatch(c) else c for c in chunks}
-        listed = [f for f in dict.fromkeys(forms.values()) if f not in self.known]
+    def learn(self, chunks: Iterable[str]) -> None:
+        words, others = {}, []
+        for chunk in chunks:
+            # the vocabulary is lower case: words that differ in case only are encoded once
+            if WORD.fullmatch(chunk):
+                words.setdefault(chunk.lower(), []).append(chunk)
+            else:
+                others.append(chunk)
+        listed = [w for w in words if w not in self.known]
         for at in range(0, len(listed), LEARN):
             part = listed[at : at + LEARN]
-            for form, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[form] = self.raw(found.ids)
-        for chunk, form in forms.items():
-            self.known[chunk] = self.known[form]
+            self.known.update(zip(part, self.words(part), strict=True))
+        for word, forms in words.items():
+            found = self.known[word]
+            for form in forms:
+                self.known[form] = found
+        for at in range(0, len(others), LEARN):
+            part = others[at : at + LEARN]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, (self.raw(f.ids) for f in found), strict=True))
+
+    def words(self, listed: list[str]) -> list[bytes]:
+        """The ids of words in lower case, a line of them at a time: each word ends in a token that ends a word."""
+        lines = [" ".join(listed[at : at + LINE]) for at in range(0, len(listed), LINE)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False))), "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
     def join(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks))
@@ -81,7 +112,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self.known.make_room()
         cut = [CHUNK.findall(t) for t in texts]
-        unseen = set(chain.from_iterable(cut)).difference(self.known)
+        unseen = self.known.missing(chain.from_iterable(cut))
         if unseen:
             self.learn(unseen)
         out = [self.join(c) for c in cut]
@@ -97,31 +128,28 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def cut_ids(raw: bytes, length: int) -> list[dict]:
-    total = len(raw) // 4
-    return [
-        {"start": s, "length": min(length, total - s), "ids_crc32": zlib.crc32(raw[4 * s : 4 * min(s + length, total)])}
-        for s in range(0, total, length)
-    ]
-
-
 def cut_documents(docs: DataFrame, path: str, text_col: str, end_id: int, length: int) -> DataFrame:
-    """The rows of docs with their text turned into pieces and doc_tokens."""
-    others = [c for c in docs.columns if c != text_col]
-    pieces, total = "__pieces", "__doc_tokens"
+    """A row per piece: `row` with the other columns of docs, start, length, ids_crc32, and doc_tokens of the document."""
+    rows = docs.select(packed([c for c in docs.columns if c != text_col]).alias("row"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(others)).to_pylist()]
-            raw = [r + end for part in slices(texts) for r in own.encode(part)]
-            made = [pa.array([cut_ids(r, length) for r in raw], kind), pa.array([len(r) // 4 for r in raw], pa.int64())]
-            yield pa.record_batch([*batch.columns[: len(others)], *made], [*others, pieces, total])
-
-    rows = docs.select(*others, text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema)
-    return rows.mapInArrow(run, f"{kinds}, {pieces} {PIECE}, {total} bigint")
+            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+            for part in slices(texts):
+                raw = [r + end for r in own.encode(part)]
+                totals = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                pieces = -(-totals // length)
+                owner = np.repeat(np.arange(len(raw)), pieces)
+                starts = length * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                sizes = np.minimum(totals[owner] - starts, length)
+                sums = [zlib.crc32(raw[k][4 * s : 4 * (s + n)]) for k, s, n in zip(owner.tolist(), starts.tolist(), sizes.tolist(), strict=True)]
+                found = [batch.column(0).take(pa.array(owner + at)), pa.array(starts), pa.array(sizes), pa.array(sums, pa.int64()), pa.array(totals[owner])]
+                yield pa.record_batch(found, ["row", "start", "length", "ids_crc32", "doc_tokens"])
+                at += len(raw)
+
+    schema = T.StructType([rows.schema["row"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    return rows.mapInArrow(run, schema)
 
 
 class Tournament:
@@ -166,14 +194,11 @@ def pack(
     docs: DataFrame, path: str, text_col: str = "text", end_id: int = END_ID, length: int = LENGTH, group: int = GROUP
 ) -> DataFrame:
     """A row per piece: the columns of docs without its text, and the struct ``piece``."""
-    others = [c for c in docs.columns if c != text_col]
-    cut = materialize(cut_documents(docs, path, text_col, end_id, length).select(F.struct(*others).alias("row"), "__pieces", "__doc_tokens"), "pieces")
-    groups = max(1, round(cut.count() / group))
-    # the files are fixed now, so a row's number is the same whenever a task reads them again
-    cut = cut.withColumn("n", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("n"), F.lit(groups)))
-    each = cut.select("row", "n", "group", "__doc_tokens", F.explode("__pieces").alias("p")).select("row", "n", "group", "__doc_tokens", "p.*")
-    whole = each.filter(F.col("length") == length)
-    rests = each.filter(F.col("length") < length).select("group", "n", "length")
+    # a piece's number is written with it, so it is the same whenever a task reads it again
+    each = materialize(cut_documents(docs, path, text_col, end_id, length).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    rests = each.filter(F.col("length") < length)
+    groups = max(1, round(rests.count() / group))
+    rests = rests.withColumn("group", F.pmod(F.xxhash64("n"), F.lit(groups)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n", ignore_index=True)
@@ -181,12 +206,12 @@ def pack(
         used = np.bincount(bins, weights=part["length"].to_numpy()).astype(np.int64)
         return pd.DataFrame({"n": part["n"], "bin": bins, "offset": offsets, "used": used[bins]})
 
-    placed = rests.groupBy("group").applyInPandas(run, "n bigint, bin bigint, offset bigint, used bigint")
-    # sequence ids: a group's bins under the group's number, whole sequences below zero
-    rest = each.filter(F.col("length") < length).join(placed, "n").withColumn("sequence_id", F.shiftleft("group", 32) + F.col("bin"))
-    alone = whole.withColumn("offset", F.lit(0).cast("long")).withColumn("used", F.lit(length).cast("long"))
-    alone = alone.withColumn("sequence_id", -1 - F.monotonically_increasing_id())
-    columns = ["row", "start", "length", "ids_crc32", F.col("__doc_tokens").alias("doc_tokens"), "sequence_id", "offset", "used"]
+    placed = rests.select("group", "n", "length").groupBy("group").applyInPandas(run, "n bigint, bin bigint, offset bigint, used bigint")
+    # sequence ids: a group's bins under the group's number, whole pieces below zero
+    rest = rests.join(placed, "n").withColumn("sequence_id", F.shiftleft("group", 32) + F.col("bin"))
+    alone = each.filter(F.col("length") == length).withColumn("offset", F.lit(0).cast("long")).withColumn("used", F.lit(length).cast("long"))
+    alone = alone.withColumn("sequence_id", -1 - F.col("n"))
+    columns = ["row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "used"]
     both = rest.select(columns).unionByName(alone.select(columns))
     power = F.col("used").bitwiseAND(F.col("used") - 1) == 0
     piece = F.struct("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.when(power, F.col("used")).otherwise(length).cast("long").alias("padded_length"))

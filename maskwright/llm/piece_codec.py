@@ -107,7 +107,7 @@ class Codec:
         """Number of ids, and the SHA-256 of the ids and of the decoded text."""
         self.known.make_room()
         cut = [self.cut(t) for t in texts]
-        unseen = set(chain.from_iterable(cut)).difference(self.known)
+        unseen = self.known.missing(chain.from_iterable(cut))
         if unseen:
             self.learn(list(unseen))
         out, known = [], self.known.__getitem__

@@ -79,7 +79,7 @@ class Counter:
                 n = len(parts) - 1
             extra.append(n)
             cut.append([u for p in parts for u in ((p,) if ODD.search(p) else UNIT.findall(p))] if n or ODD.search(text) else UNIT.findall(text))
-        unseen = set(chain.from_iterable(cut)).difference(self.known)
+        unseen = self.known.missing(chain.from_iterable(cut))
         if unseen:
             self.learn(list(unseen))
         known = self.known.__getitem__
