@@ -36,10 +36,11 @@ from .token_counts import slices, tokenizer_path
 
 VOCABULARY, END_ID, LENGTH, GROUP = "word_bpe_49k.json", 2, 4096, 8192
 CACHE = 350_000
-BLANK, LETTER = " \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A word without its closing mark, the mark, or anything else between blanks: no token goes across these cuts.
-CHUNK = re.compile(f"[{LETTER}]+(?=[.,;:!?]?(?:[{BLANK}]|$))|(?<=[{LETTER}])[.,;:!?](?=[{BLANK}]|$)|[^{BLANK}]+")
+LETTER, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 WORD = re.compile(f"[{LETTER}]+")
+#: Chunks where split() would cut at more than white space; no token goes across white space.
+CHUNK = re.compile("[^ \t\n\r\x0b\x0c]+")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Chunks given to the tokenizer at once; what it returns for each is large.
 LEARN = 20_000
 #: Words given to it as one line.
@@ -68,31 +69,45 @@ class ChunkEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.known = Bounded(CACHE)  # chunk -> ids as little-endian unsigned 32-bit integers
+        self.closing = {m: self.raw(self.tokenizer.encode(m, add_special_tokens=False).ids) if m else b"" for m in ("", *MARKS)}
         probe = f"{PROBE} {PROBE.upper()} Don't  PANIC:\té́ x1 42,\n\n<|endoftext|> ´s  '"
-        self.learn(set(CHUNK.findall(probe)))
-        if self.join(CHUNK.findall(probe)) != self.raw(self.tokenizer.encode(probe, add_special_tokens=False).ids):
-            raise ValueError("this vocabulary has tokens that cross blanks")
+        for text in (PROBE, PROBE.upper(), probe):
+            if self.encode([text]) != [self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)]:
+                raise ValueError("this vocabulary has tokens that cross blanks")
 
     @staticmethod
     def raw(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        if "<|" not in text:  # strings of special tokens are in lower case as they stand
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # as the vocabulary does later; these characters need no normalisation before
+            except UnicodeEncodeError:
+                pass
+        return CHUNK.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
     def learn(self, chunks: Iterable[str]) -> None:
-        words, others = {}, []
+        """Words are encoded once, whatever their case and whether a mark closes them; other chunks as they are."""
+        words, derived, others = {}, [], []
         for chunk in chunks:
-            # the vocabulary is lower case: words that differ in case only are encoded once
-            if WORD.fullmatch(chunk):
-                words.setdefault(chunk.lower(), []).append(chunk)
+            mark = chunk[-1] if chunk[-1] in MARKS else ""
+            word = chunk[:-1] if mark else chunk
+            if WORD.fullmatch(word):
+                word = word.lower()
+                words[word] = None
+                if word != chunk:
+                    derived.append((chunk, word, mark))
             else:
                 others.append(chunk)
         listed = [w for w in words if w not in self.known]
         for at in range(0, len(listed), LEARN):
             part = listed[at : at + LEARN]
             self.known.update(zip(part, self.words(part), strict=True))
-        for word, forms in words.items():
-            found = self.known[word]
-            for form in forms:
-                self.known[form] = found
+        for chunk, word, mark in derived:
+            self.known[chunk] = self.known[word] + self.closing[mark]
         for at in range(0, len(others), LEARN):
             part = others[at : at + LEARN]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
@@ -111,7 +126,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.known.make_room()
-        cut = [CHUNK.findall(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         unseen = self.known.missing(chain.from_iterable(cut))
         if unseen:
             self.learn(unseen)
@@ -119,7 +134,7 @@ class ChunkEncoder:
         for chunk in unseen:
             if len(chunk) > 64:
                 self.known.pop(chunk, None)
-                self.known.pop(chunk.lower(), None)
+                self.known.pop(chunk.rstrip(MARKS).lower(), None)
         return out
 
 
