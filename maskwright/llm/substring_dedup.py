@@ -1,29 +1,30 @@
 r"""Removal of repeated substrings, exactly, with suffix arrays over what may repeat.
 
-A string of ``LENGTH`` bytes that starts at two places has the same anchors in both: an anchor is a ``GRAM``-byte string whose
-hash is the least in some window of LENGTH bytes. So the anchors of all documents are counted by hash, and only
-around those that occur twice is there anything to find:
-
-* Occurrences of an anchor with the same surroundings (all windows that hold it) are repeated as a whole. They are
-  found by counting pairs of hashes, which folds copies inside each task before anything moves.
-* Where surroundings differ, one of each kind goes to its anchor's group. There the windows are halved by how far they
-  start left of the anchor; the bytes that all windows of a half share are its key, so a half goes on only with equals.
-  When few starts are left, the shared bytes become one symbol, and a suffix array over the short strings that
-  remain (left rest, symbol, right rest) tells by its neighbours which windows start elsewhere too.
+A string of ``LENGTH`` bytes, a window, has one anchor: of its ``GRAM``-byte strings the first whose hash is the least. Equal windows have
+equal anchors at equal places, so an anchor's group is all that a window must be compared to. Hashes only choose what
+is compared; that a window starts elsewhere too is read off a suffix array, from neighbours that share all its symbols:
+
+* Anchors of all documents are counted by hash; those that occur once go. The bytes that the windows of one anchor cover are
+  its surroundings; occurrences with equal surroundings are one kind, which folds copies before bytes are moved.
+* A kind that occurs twice enters an array twice, all that its windows share, which is all of it, as one symbol.
+* The other kinds of a group are compared to each other and to one of each kind that occurs twice. Windows are dealt by how
+  far they start left of the anchor, in halves down to ``STARTS`` starts; the bytes that all windows of a half share are its key and become one
+  symbol, so the strings of the array are short (left rest, symbol, right rest), and arrays are independent of each other.
 * A group of more than ``GROUP`` kinds is halved the same way by DataFrame operations, its rows dealt by the new keys, until
-  its groups are small or a single start is left, where counting decides. No group meets in one task without a bound.
+  its groups are small or a single start is left, where all that share a key are one kind. No group meets in one task without a bound.
 
-Anchors are compared by 64 bits and surroundings by 64 more; the last comparison is of the symbols themselves.
+Anchors are compared by 64 bits and surroundings by 64 more; keys and the strings of arrays by their bytes.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; a row that is repeated in full
-repeats every string of it; rows may share ids, they are told apart by a hash of their text.
+repeats every string of it; rows may share ids or have none, they are told apart by a hash of their text, and rows that agree in
+both lose the same bytes; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, discard, materialize, table
+from .common import BROADCAST_ROWS, column, discard, materialize, table
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, GROUP = 200, 100, 1000
 #: Starts that a suffix array tells apart, at most; symbols of one array, at most.
-STARTS, SYMBOLS = 24, 200_000
+STARTS, SYMBOLS = 26, 200_000
+FAR = 1 << 40
 BASE = 0x9E3779B97F4A7C15
 ITEM = "h bigint, c bigint, lo int, hi int, id {id}, th bigint, a bigint, lead int, bytes binary, need boolean"
 
@@ -76,6 +79,31 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]
     return at, mixed[at]
 
 
+def nearest(at: np.ndarray, value: np.ndarray, reach: int, right: bool) -> np.ndarray:
+    """For each of the ordered places the next one within reach on a side whose value is less (right) or not more (left); far away if none."""
+    n = len(at)
+    out, live, step = np.full(n, FAR if right else -FAR, np.int64), np.arange(n), 0
+    while len(live):
+        step += 1 if right else -1
+        other = live + step
+        ok = (other >= 0) & (other < n)
+        live, other = live[ok], other[ok]
+        ok = np.abs(at[other] - at[live]) <= reach
+        live, other = live[ok], other[ok]
+        hit = value[other] < value[live] if right else value[other] <= value[live]
+        out[live[hit]] = at[other[hit]]
+        live = live[~hit]
+    return out
+
+
+def owned(at: np.ndarray, value: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest distance before each anchor at which a window starts that is this anchor's; ends: last start of a window."""
+    reach = length - gram
+    first = np.maximum(at - reach, nearest(at, value, reach, False) + 1)
+    last = np.minimum(np.minimum(at, ends), nearest(at, value, reach, True) - reach - 1)
+    return at - last, at - first
+
+
 def hash_of(raw: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
 
@@ -91,7 +119,7 @@ def key_of(raw: bytes, lead: int, lo: int, hi: int, length: int) -> bytes | None
 
 
 class Leaves:
-    """Gathers short strings and tells which of their windows occur twice."""
+    """Gathers short strings and tells which of their windows occur twice, from the neighbours in their suffix array."""
 
     def __init__(self, length: int):
         self.length = length
@@ -99,22 +127,35 @@ class Leaves:
 
     def clear(self) -> None:
         self.text: list[str] = []
-        self.size, self.leaf, self.starts = 0, 0, []  # starts: place in text, window starts, tag, lo, hi, symbols of a window
+        self.size, self.leaf, self.starts = 0, 0, []  # starts: place in text, window starts, symbols of a window, largest distance, least distance, tags
+
+    def put(self, text: str, times: int, windows: int, symbols: int, most: int, least: int, tags: list[tuple]) -> None:
+        for _ in range(times):
+            self.starts.append((self.size, windows, symbols, most, least, tags))
+            self.text.append(text)
+            self.size += len(text)
+            tags = []
+
+    def whole(self, kinds: Iterable[tuple[int, int, int, list[tuple]]]) -> None:
+        """(least and largest distance, times, tags) of strings that are equal in all their windows: one symbol says all."""
+        symbol = chr(0x10000 + self.leaf) + "Ā"
+        self.leaf += 1
+        for least, most, times, tags in kinds:
+            self.put(symbol, min(times, 2), 1, 1, most, least, tags)
 
-    def add(self, lo: int, hi: int, members: list[tuple[bytes, int, tuple | None]]) -> None:
+    def add(self, lo: int, hi: int, strings: Iterable[tuple[bytes, int, int, list[tuple]]]) -> None:
+        """(bytes, how many lie before the shared ones, times, tags) of different strings that share the bytes of a key."""
         shared = self.length - (hi - lo)
         symbol = chr(0x10000 + self.leaf)  # one for each leaf, so that strings of two leaves have no window in common
         self.leaf += 1
-        for part, left, tag in members:
+        for part, left, times, tags in strings:
             text = part[:left].decode("latin-1") + symbol + part[left + shared :].decode("latin-1") + "Ā"
             windows = min(left + 1, len(text) - 1 - (hi - lo))
             if windows > 0:
-                self.starts.append((self.size, windows, left, tag, lo, hi - lo + 1))
-                self.text.append(text)
-                self.size += len(text)
+                self.put(text, min(times, 2), windows, hi - lo + 1, left + lo, left + lo - windows + 1, tags)
 
     def repeated(self) -> Iterator[tuple[tuple, int, int]]:
-        """(tag, least and largest start before the anchor) of each run of windows that start elsewhere too."""
+        """(tag, least and largest distance before the anchor) of each run of windows that start elsewhere too."""
         text = "".join(self.text)
         codes = {c: i for i, c in enumerate(sorted(set(text)))}
         order = suffix_array([codes[c] for c in text])
@@ -125,20 +166,23 @@ class Leaves:
         own = owner.tolist()
         for p, q in zip(order, order[1:], strict=False):
             if own[p] >= 0 and own[q] >= 0:
-                size = self.starts[own[p]][5]
-                if size == self.starts[own[q]][5] and text[p : p + size] == text[q : q + size]:
+                size = self.starts[own[p]][2]
+                if size == self.starts[own[q]][2] and text[p : p + size] == text[q : q + size]:
                     twice[p] = twice[q] = True
         at = np.flatnonzero(twice)
         breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
-        for run in np.split(at, breaks) if len(at) else ():
-            start, _, left, tag, lo, _ = self.starts[own[run[0]]]
-            if tag is not None:
-                yield tag, int(left - (run[-1] - start) + lo), int(left - (run[0] - start) + lo)
+        firsts, lasts = at[np.concatenate([[0], breaks])].tolist() if len(at) else [], at[np.concatenate([breaks - 1, [len(at) - 1]])].tolist() if len(at) else []
+        for first, last in zip(firsts, lasts, strict=True):
+            start, windows, _, most, least, tags = self.starts[own[first]]
+            # a symbol that says all stands for windows from least to most
+            one = windows == 1
+            for tag in tags:
+                yield tag, least if one else most - (last - start), most if one else most - (first - start)
         self.clear()
 
 
-def settle(group: list[tuple[bytes, int, tuple | None]], lo: int, hi: int, length: int, leaves: Leaves) -> Iterator[tuple[tuple, int, int]]:
-    """Members of a group that share a key -> (tag, first and last start before the anchor) of repeated windows; the rest goes to leaves."""
+def settle(group: list[tuple[bytes, int, tuple | None]], lo: int, hi: int, length: int, leaves: Leaves) -> None:
+    """Members of a group that share a key (bytes, how many before the anchor, tag; none: only a partner) go to leaves, all that some window of theirs may equal."""
     todo = [(lo, hi, group)]
     while todo:
         lo, hi, group = todo.pop()
@@ -147,23 +191,22 @@ def settle(group: list[tuple[bytes, int, tuple | None]], lo: int, hi: int, lengt
             part, left = part_of(member[0], member[1], lo, hi, length)
             if len(part) >= length:
                 kinds[part, left].append(member)
-        rest, needed = [], False
-        for (part, left), members in kinds.items():
+        tags = {k: [m[2] for m in members if m[2] is not None] for k, members in kinds.items()}
+        if not any(tags.values()):
+            continue
+        if len(kinds) == 1:
+            (part, left), members = next(iter(kinds.items()))
             if len(members) > 1:
-                yield from ((m[2], lo, hi) for m in members if m[2] is not None)
-                rest.append(((part, left), (members[0][0], members[0][1], None)))
-            else:
-                rest.append(((part, left), members[0]))
-                needed |= members[0][2] is not None
-        if not needed or len(rest) < 2:
+                most, least = left + lo, max(lo, left + lo + length - len(part))
+                leaves.whole([(least, most, len(members), tags[part, left])])
             continue
-        if hi - lo <= STARTS:
-            leaves.add(lo, hi, [(part, left, m[2]) for (part, left), m in rest])
+        if hi - lo < STARTS:
+            leaves.add(lo, hi, [(part, left, len(members), tags[part, left]) for (part, left), members in kinds.items()])
             continue
         middle = (lo + hi) // 2
         for low, high in ((lo, middle), (middle + 1, hi)):
             halves: dict[bytes, list] = defaultdict(list)
-            for _, member in rest:
+            for member in group:
                 key = key_of(member[0], member[1], low, high, length)
                 if key is not None:
                     halves[key].append(member)
@@ -171,27 +214,31 @@ def settle(group: list[tuple[bytes, int, tuple | None]], lo: int, hi: int, lengt
 
 
 def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each anchor of each document: hash of the anchor and of its surroundings, and where it is."""
+    """A row for each anchor of each document that has a window: hashes of it and of its surroundings, where it is, and its windows' distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for start in range(0, batch.num_rows, 256):
-                h, c, at, row = [], [], [], []
-                for k in range(start, min(start + 256, batch.num_rows)):
-                    raw = batch.column(2)[k].as_buffer().to_pybytes()
-                    found, hashed = anchors(raw, length, gram)
-                    h.append(hashed.view(np.int64))
-                    at.append(found)
-                    row.append(np.full(len(found), k))
-                    c += [hash_of(raw[max(0, a + gram - length) : a + length], min(a, length - gram)) for a in found.tolist()]
-                row = np.concatenate(row)
+                raws = [batch.column(2)[k].as_buffer().to_pybytes() for k in range(start, min(start + 256, batch.num_rows))]
+                found = [anchors(raw, length, gram) for raw in raws]
+                row = np.repeat(np.arange(len(raws)), [len(at) for at, _ in found])
+                sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+                # documents one after another, out of each other's reach
+                base = np.cumsum(sizes + length) - sizes - length
+                at, h = np.concatenate([at for at, _ in found]), np.concatenate([h for _, h in found])
+                lo, hi = owned(at + base[row], h, (sizes - length + base)[row], length, gram)
+                hi = np.minimum(hi, at)
+                some = lo <= hi
+                h, at, row, lo, hi = h[some], at[some], row[some], lo[some], hi[some]
+                c = [hash_of(raws[k][a - m : a - n + length], m) for k, a, n, m in zip(row.tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                here = pa.array(row + start)
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(h)), pa.array(c, pa.int64()), ids.take(pa.array(row)), hashes.take(pa.array(row)), pa.array(np.concatenate(at))],
-                    ["h", "c", "id", "th", "a"],
+                    [pa.array(h.view(np.int64)), pa.array(c, pa.int64()), ids.take(here), hashes.take(here), pa.array(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                    ["h", "c", "id", "th", "a", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(run, f"h bigint, c bigint, id {docs.dtypes[0][1]}, th bigint, a bigint")
+    return docs.mapInArrow(run, f"h bigint, c bigint, id {docs.dtypes[0][1]}, th bigint, a bigint, lo int, hi int")
 
 
 def classify(rows: DataFrame, tag: str) -> DataFrame:
@@ -213,16 +260,15 @@ def classify(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def deal(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
-    """docs with found's rows of the same document gathered in `found`, a list (null: none)."""
-    lists = materialize(found.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("found"), F.count("*").alias("n")), "lists")
-    rows, total = lists.agg(F.count("*"), F.sum("n")).first()
-    small = (total or 0) <= BROADCAST_ROWS
+    """docs with found's different rows of the same document gathered in `found`, a list (null: none). A document has at most as many as bytes."""
+    lists = materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("found")), "lists")
+    small = (lists.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_ROWS
     lists = lists.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "found")
     return docs.join(F.broadcast(lists) if small else lists, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left").drop("id_", "th_")
 
 
 def fetch(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each open anchor."""
+    """The surroundings of one anchor of each open kind."""
     kind = docs.dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +277,8 @@ def fetch(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFra
             for k, items in enumerate(batch.column(3).to_pylist()):
                 raw = batch.column(2)[k].as_buffer().to_pybytes() if items else b""
                 for x in items or ():
-                    a = x["a"]
-                    start = max(0, a + gram - length)
-                    out.append((x["h"], x["c"], k, a, a - start, raw[start : a + length], x["need"]))
+                    a, lead = x["a"], x["hi"]
+                    out.append((x["h"], x["c"], k, a, lead, raw[a - lead : a - x["lo"] + length], x["need"]))
             if out:
                 h, c, k, a, lead, raw, need = zip(*out, strict=True)
                 k = pa.array(k)
@@ -243,7 +288,7 @@ def fetch(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFra
                     ["h", "c", "lo", "hi", "id", "th", "a", "lead", "bytes", "need"],
                 )
 
-    rows = deal(docs, opened, [F.col("h"), F.col("c"), F.col("a"), F.col("need")]).filter("found is not null").select("id", "th", "raw", "found")
+    rows = deal(docs, opened, [F.col(c) for c in ("h", "c", "a", "lo", "hi", "need")]).filter("found is not null").select("id", "th", "raw", "found")
     return rows.mapInArrow(run, ITEM.format(id=kind))
 
 
@@ -269,38 +314,54 @@ def halve(items: DataFrame, length: int) -> DataFrame:
     return items.select(names).mapInArrow(run, ITEM.format(id=dict(items.dtypes)["id"]))
 
 
+def settle_whole(kinds: DataFrame, length: int) -> DataFrame:
+    """kinds (lo, hi, m and others) that occur m times -> the others and s, e, from the anchor on, of repeated bytes."""
+    others = [f for f in kinds.schema if f.name not in ("lo", "hi", "m")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = Leaves(length)
+        for batch in batches:
+            lo, hi, m = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("lo", "hi", "m"))
+            for at in range(0, batch.num_rows, SYMBOLS // 4):
+                for k in range(at, min(at + SYMBOLS // 4, batch.num_rows)):
+                    leaves.whole([(lo[k], hi[k], m[k], [(k,)])])
+                found = list(leaves.repeated()) if leaves.size else []
+                rows = pa.array([t[0] for t, _, _ in found], pa.int64())
+                made = [pa.array([-most for _, _, most in found], pa.int64()), pa.array([length - least for _, least, _ in found], pa.int64())]
+                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(f.name)).take(rows) for f in others), *made], [*(f.name for f in others), "s", "e"])
+
+    return kinds.mapInArrow(run, T.StructType([*others, T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+
+
 def settle_groups(items: DataFrame, length: int) -> DataFrame:
     """Groups of bounded size -> (id, th, s, e) of repeated bytes. A task reads its groups one after another."""
     kind = dict(items.dtypes)["id"]
+    names = ("h", "lo", "hi", "id", "th", "a", "lead", "bytes", "need")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, held, group, last = Leaves(length), {}, [], None
-
-        def flush() -> list[tuple]:
-            return list(leaves.repeated()) if leaves.size else []
+        leaves, group, last = Leaves(length), [], None
 
-        def emit(found: list[tuple]) -> pa.RecordBatch:
-            # tags: (id, th, a, lead, number of bytes)
-            rows = [(t[0], t[1], t[2] - min(hi, t[3]), min(t[2] - lo + length, t[2] - t[3] + t[4])) for t, lo, hi in found]
+        def emit() -> pa.RecordBatch:
+            # tags: (id, th, a)
+            rows = [(t[0], t[1], t[2] - most, t[2] - least + length) for t, least, most in leaves.repeated()] if leaves.size else []
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             return pa.record_batch([pa.array(columns[0], kinds), *(pa.array(c, pa.int64()) for c in columns[1:])], ["id", "th", "s", "e"])
 
         kinds = None
         for batch in batches:
             kinds = batch.schema.field("id").type
-            found: list[tuple] = []
-            for h, lo, hi, i, th, a, lead, raw, need in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("h", "lo", "hi", "id", "th", "a", "lead", "bytes", "need")), strict=True):
+            for h, lo, hi, i, th, a, lead, raw, need in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 if (h, lo, hi) != last:
                     if len(group) > 1:
-                        found += settle(group, last[1], last[2], length, leaves)
+                        settle(group, last[1], last[2], length, leaves)
                         if leaves.size > SYMBOLS:
-                            found += flush()
+                            yield emit()
                     group, last = [], (h, lo, hi)
-                group.append((raw, lead, (i, th, a, lead, len(raw)) if need else None))
-            yield emit(found)
+                group.append((raw, lead, (i, th, a) if need else None))
         if kinds is not None:
-            found = list(settle(group, last[1], last[2], length, leaves)) if len(group) > 1 else []
-            yield emit(found + flush())
+            if len(group) > 1:
+                settle(group, last[1], last[2], length, leaves)
+            yield emit()
 
     dealt = items.repartition("h").sortWithinPartitions("h", "lo", "hi")
     return dealt.mapInArrow(run, f"id {kind}, th bigint, s bigint, e bigint")
@@ -313,28 +374,34 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     found = materialize(every.join(twice, "h", "left_semi"), "found")
     discard(every, twice)
-    first = materialize(classify(found, "kinds").select("h", "c", "id", "th", "a", "full", "open", "need", "kinds"), "classes")
-    discard(found)
-    ranges = first.filter("full").select("id", "th", F.greatest(F.col("a") - (length - gram), F.lit(0)).alias("s"), (F.col("a") + length).alias("e"))
-    items = fetch(docs, first.filter("open"), length, gram)
-    sizes = first.filter("open").groupBy("h").agg(F.count("*").alias("n"))
+    kinds = materialize(found.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "a", "lo", "hi")).alias("one")), "kinds")
+    heads = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least"))
+    # the hot kinds are on the left, which Spark splits; each (h, c) is on the right once
+    whole = materialize(settle_whole(kinds.filter("m > 1").select("h", "c", "m", "one.lo", "one.hi"), length), "whole")
+    at = lambda c: (F.col("a") + F.col(c)).alias(c)
+    ranges = found.select("h", "c", "id", "th", "a").join(whole, ["h", "c"]).select("id", "th", at("s"), at("e"))
+    # groups of which every kind occurs twice have nothing to compare
+    mixed = heads.filter("kinds > 1 and least = 1").select("h", "kinds")
+    opened = materialize(kinds.join(mixed, "h").select("h", "c", "one.*", (F.col("m") == 1).alias("need"), "kinds"), "open")
+    discard(kinds)
+    items = fetch(docs, opened, length, gram)
+    sizes = opened.select("h", F.col("kinds").alias("n")).distinct()
     while True:
         items = materialize(items, "items")
         large = materialize(sizes.filter(F.col("n") > group).select("h"), "large")
         none = large.isEmpty()
         small = items if none else items.join(large, "h", "left_anti")
-        settled = materialize(settle_groups(small, length), "settled")
-        ranges = ranges.unionByName(settled)
+        ranges = ranges.unionByName(materialize(settle_groups(small, length), "settled"))
         if none:
             discard(items, large)
             return ranges
         halves = materialize(halve(items.join(large, "h", "left_semi"), length), "halves")
         discard(items, large)
         classes = materialize(classify(halves.withColumnRenamed("need", "was"), "kinds"), "classes")
-        whole = classes.filter(F.col("full") & F.col("was"))
-        low = F.col("a") - F.least("hi", "lead")
-        high = F.least(F.col("a") - F.col("lo") + length, F.col("a") - F.col("lead") + F.octet_length("bytes"))
-        ranges = ranges.unionByName(whole.select("id", "th", low.alias("s"), high.alias("e")))
+        # distances of the windows that lie within the bytes
+        least = F.greatest(F.col("lo"), F.col("lead") + length - F.octet_length("bytes"))
+        again = classes.filter(F.col("full") & F.col("was")).select("id", "th", "a", least.alias("lo"), F.least("hi", "lead").alias("hi"), F.lit(2).alias("m"))
+        ranges = ranges.unionByName(materialize(settle_whole(again, length), "again").select("id", "th", at("s"), at("e")))
         items = classes.filter("open").withColumn("need", F.col("need") & F.col("was")).select("h", "c", "lo", "hi", "id", "th", "a", "lead", "bytes", "need")
         sizes = items.groupBy("h").agg(F.count("*").alias("n"))
 
@@ -358,13 +425,13 @@ def cut_ranges(docs: DataFrame, ranges: DataFrame, keep_text: bool = False) -> D
             n = [pa.array([x[i] for x in out], pa.int64()) for i in range(3)]
             yield pa.record_batch([batch.column(0), *n, pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = deal(docs, ranges.distinct(), [F.col("s"), F.col("e")]).select("id", "raw", "found")
+    rows = deal(docs, ranges, [F.col("s"), F.col("e")]).select("id", "raw", "found")
     return rows.mapInArrow(run, f"id {docs.dtypes[0][1]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def byte_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.encode(text, "UTF-8").alias("raw"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    return docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("th"), F.encode(text, "UTF-8").alias("raw"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, group: int = GROUP, keep_text: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ from maskwright.llm.piece_codec import Codec, encode, encode_digests
 from maskwright.llm.quality import assess, keep_good
 from maskwright.llm.secret_scan import redact, scan
 from maskwright.llm.simhash import BLOCKS, drop_near_copies, fingerprint, forest, near_groups, near_links
-from maskwright.llm.substring_dedup import remove_repeats
+from maskwright.llm.substring_dedup import Leaves, remove_repeats, settle
 from maskwright.llm.suffix_array import suffix_array
 from maskwright.llm.token_counts import Counter as TokenCounter
 from maskwright.llm.token_counts import count_tokens, tokenizer_path
@@ -303,6 +303,34 @@ def test_substrings_of_nothing_and_of_repeated_rows(spark):
     assert sorted(r["n_removed"] for r in remove_repeats(twice).collect()) == [len(text) - 1, len(text), len(text)]
 
 
+def test_substrings_of_rows_without_ids(spark):
+    text = " ".join(map(str, range(300)))
+    rows = spark.createDataFrame([(None, text)] * 5 + [(None, text[:400] + "#" * 300), (None, "short")], "doc_id long, text string")
+    found = Counter((r["n_bytes"], r["n_removed"]) for r in remove_repeats(rows).collect())
+    assert found == {(len(text), len(text)): 5, (700, 400 + 300): 1, (5, 0): 1}
+
+
+def test_substrings_of_the_smallest_tables(spark):
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = {i: w for (i, _), w in zip(texts, plain_cut([t for _, t in texts], 200), strict=True)}
+    found = QUERIES["op4_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == want and len(found) == len(texts)
+
+
+def test_neighbours_in_the_array_decide():
+    leaves = Leaves(20)
+    raws = [b"abcdefghijKLMNOPQRSTuvwxyz", b"#bcdefghijKLMNOPQRSTuvwx##", b"zzzzzzzzzzKLMNOPQRSTzzzzzz"]
+    settle([(raw, 10, (k,)) for k, raw in enumerate(raws)], 0, 10, 20, leaves)
+    seen = Counter(r[i : i + 20] for r in raws for i in range(7))
+    found = {k: set() for k in range(3)}
+    for (k,), low, high in leaves.repeated():
+        found[k] |= set(range(low, high + 1))
+    assert found == {k: {10 - i for i in range(7) if seen[raw[i : i + 20]] > 1} for k, raw in enumerate(raws)}
+    leaves.whole([(3, 7, 1, [("once",)])])
+    leaves.whole([(3, 7, 5, [("often",)])])
+    assert list(leaves.repeated()) == [(("often",), 3, 7)]
+
+
 # tokens
 
 
