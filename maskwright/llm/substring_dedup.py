@@ -259,12 +259,18 @@ def classify(rows: DataFrame, tag: str) -> DataFrame:
     return joined.withColumn("open", opened).withColumn("need", ~F.col("full")).filter(F.col("full") | F.col("open")).drop("mixed", "one")
 
 
-def deal(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
+def deal(docs: DataFrame, found: DataFrame, columns: list[Column], how: str = "left") -> DataFrame:
     """docs with found's different rows of the same document gathered in `found`, a list (null: none). A document has at most as many as bytes."""
     lists = materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("found")), "lists")
-    small = (lists.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_ROWS
+    rows, total = lists.agg(F.count("*"), F.sum(F.size("found"))).first()
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
     lists = lists.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "found")
-    return docs.join(F.broadcast(lists) if small else lists, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left").drop("id_", "th_")
+    if (total or 0) <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
+    elif how == "inner" and rows <= BROADCAST_ROWS:
+        # texts without a list needn't move
+        docs = docs.join(F.broadcast(lists.select("id_", "th_")), same, "left_semi")
+    return docs.join(lists, same, how).drop("id_", "th_")
 
 
 def fetch(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
@@ -288,7 +294,7 @@ def fetch(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFra
                     ["h", "c", "lo", "hi", "id", "th", "a", "lead", "bytes", "need"],
                 )
 
-    rows = deal(docs, opened, [F.col(c) for c in ("h", "c", "a", "lo", "hi", "need")]).filter("found is not null").select("id", "th", "raw", "found")
+    rows = deal(docs, opened, [F.col(c) for c in ("h", "c", "a", "lo", "hi", "need")], "inner").select("id", "th", "raw", "found")
     return rows.mapInArrow(run, ITEM.format(id=kind))
 
 
@@ -367,8 +373,8 @@ def settle_groups(items: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, f"id {kind}, th bigint, s bigint, e bigint")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """docs (id, th, raw) -> (id, th, s, e): byte ranges that cover exactly the repeated bytes."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, list[DataFrame]]:
+    """docs (id, th, raw) -> (id, th, s, e): byte ranges that cover exactly the repeated bytes; and the tables that hold them."""
     every = materialize(find_anchors(docs, length, gram), "anchors")
     # most anchors are alone: they go before surroundings are compared
     twice = materialize(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
@@ -384,6 +390,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     mixed = heads.filter("kinds > 1 and least = 1").select("h", "kinds")
     opened = materialize(kinds.join(mixed, "h").select("h", "c", "one.*", (F.col("m") == 1).alias("need"), "kinds"), "open")
     discard(kinds)
+    made = [found, whole, opened]
     items = fetch(docs, opened, length, gram)
     sizes = opened.select("h", F.col("kinds").alias("n")).distinct()
     while True:
@@ -391,23 +398,26 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         large = materialize(sizes.filter(F.col("n") > group).select("h"), "large")
         none = large.isEmpty()
         small = items if none else items.join(large, "h", "left_anti")
-        ranges = ranges.unionByName(materialize(settle_groups(small, length), "settled"))
+        made.append(materialize(settle_groups(small, length), "settled"))
+        ranges = ranges.unionByName(made[-1])
         if none:
             discard(items, large)
-            return ranges
+            return ranges, made
         halves = materialize(halve(items.join(large, "h", "left_semi"), length), "halves")
         discard(items, large)
         classes = materialize(classify(halves.withColumnRenamed("need", "was"), "kinds"), "classes")
         # distances of the windows that lie within the bytes
         least = F.greatest(F.col("lo"), F.col("lead") + length - F.octet_length("bytes"))
         again = classes.filter(F.col("full") & F.col("was")).select("id", "th", "a", least.alias("lo"), F.least("hi", "lead").alias("hi"), F.lit(2).alias("m"))
-        ranges = ranges.unionByName(materialize(settle_whole(again, length), "again").select("id", "th", at("s"), at("e")))
+        made += [materialize(settle_whole(again, length), "again"), classes]
+        ranges = ranges.unionByName(made[-2].select("id", "th", at("s"), at("e")))
+        discard(halves)
         items = classes.filter("open").withColumn("need", F.col("need") & F.col("was")).select("h", "c", "lo", "hi", "id", "th", "a", "lead", "bytes", "need")
         sizes = items.groupBy("h").agg(F.count("*").alias("n"))
 
 
-def cut_ranges(docs: DataFrame, ranges: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs (id, th, raw) -> id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
+def cut_ranges(docs: DataFrame, ranges: DataFrame, made: list[DataFrame], keep_text: bool = False) -> DataFrame:
+    """docs (id, th, raw) and ranges, which the tables of made hold and go with -> id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,6 +436,7 @@ def cut_ranges(docs: DataFrame, ranges: DataFrame, keep_text: bool = False) -> D
             yield pa.record_batch([batch.column(0), *n, pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     rows = deal(docs, ranges, [F.col("s"), F.col("e")]).select("id", "raw", "found")
+    discard(*made)
     return rows.mapInArrow(run, f"id {docs.dtypes[0][1]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -437,7 +448,7 @@ def byte_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, group: int = GROUP, keep_text: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of each row."""
     rows = byte_rows(docs, id_col, text_col)
-    return cut_ranges(rows, repeated_ranges(rows, length, gram or length // 2, group), keep_text)
+    return cut_ranges(rows, *repeated_ranges(rows, length, gram or length // 2, group), keep_text)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
