@@ -1,63 +1,5 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing.
+"""The corpus pipeline by the name under which it is registered; its stages are in maskwright.llm.pipeline."""
 
-STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the docs of the next. All but the last return the columns of documents. A document
-with secrets stays, with every secret replaced by ``[SECRET]``.
-"""
+from maskwright.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from maskwright.llm.common import materialize, shared_dir, table, workers_see_package
-from maskwright.llm.exact_dedup import deduplicate
-from maskwright.llm.near_copies import drop_similar
-from maskwright.llm.packing import VOCABULARY, pack
-from maskwright.llm.quality import keep_good
-from maskwright.llm.secret_scan import redact
-from maskwright.llm.token_counts import tokenizer_path
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicate(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_see_package(spark)
-    return drop_similar(docs).select(docs.columns)
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_see_package(spark)
-    return redact(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers_see_package(spark)
-    return pack(docs.select("doc_id", "text"), tokenizer_path(VOCABULARY)).select("doc_id", "piece.*")
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("secret_scan", secret_scan),
-    ("packing", packing),
-]
-#: Near-copy components, scans and packing are beyond SQL; tests/llm holds the pipeline against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

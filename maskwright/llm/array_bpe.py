@@ -6,16 +6,22 @@ array is compacted; words without a pair left leave the array. The rounds end wh
 
 Merging all occurrences at once equals merging them one by one as long as a merge cannot give birth to a pair of
 a better rank. Pairs for which it can are known beforehand (``alone``); of those only the leftmost is merged.
+
+Where two neighbours never stand together inside a merged symbol no merge crosses, so words are first cut there into
+regions that go their own ways. A region of more than ``LONG`` symbols, such as a long run of blanks, would need a round for
+each merge that goes alone; it is merged by a heap of pairs instead, in time that grows almost with its length.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import numpy as np
 
 SHIFT = 22  # symbols are below 2**22
 NONE = np.iinfo(np.int64).max
+LONG, PLACE = 512, 40  # a place in a region is below 2**40
 
 
 class Merges:
@@ -33,6 +39,77 @@ class Merges:
                     best[s] = r
         self.alone = np.array([best.get(m, NONE) <= r for m, r in zip(self.merged.tolist(), self.rank.tolist(), strict=True)], bool)
 
+        self.table = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+        self.together = self.neighbours(left.tolist(), right.tolist(), merged.tolist())
+
+    @staticmethod
+    def neighbours(left: list[int], right: list[int], merged: list[int]) -> np.ndarray:
+        """Keys, in order, of the pairs of unmerged symbols that stand together inside some merged one."""
+        parts = {m: (a, b) for a, b, m in zip(left, right, merged, strict=True)}
+        ends: dict[int, tuple[int, int]] = {}
+
+        def outer(symbol: int) -> tuple[int, int]:
+            """The first and the last unmerged symbol of a symbol."""
+            todo = [symbol]
+            while todo:
+                s = todo[-1]
+                if s in ends or s not in parts:
+                    ends.setdefault(s, (s, s))
+                    todo.pop()
+                    continue
+                a, b = parts[s]
+                wanted = [x for x in (a, b) if x not in ends]
+                if wanted:
+                    todo += wanted
+                else:
+                    ends[s] = (ends[a][0], ends[b][1])
+            return ends[symbol]
+
+        return np.unique(np.array([(outer(a)[1] << SHIFT) | outer(b)[0] for a, b in zip(left, right, strict=True)], np.int64))
+
+    def regions(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where the regions of all words start."""
+        starts = np.zeros(len(symbols), bool)
+        starts[np.cumsum(lengths) - lengths] = True
+        if len(symbols) > 1:
+            if not len(self.together):
+                starts[:] = True
+                return np.flatnonzero(starts)
+            key = (symbols[:-1] << SHIFT) | symbols[1:]
+            at = np.minimum(np.searchsorted(self.together, key), len(self.together) - 1)
+            starts[1:] |= self.together[at] != key
+        return np.flatnonzero(starts)
+
+    def by_heap(self, region: list[int]) -> list[int]:
+        """One region, the best pair first and of equal ones the leftmost."""
+        n, table = len(region), self.table
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        place = (1 << PLACE) - 1
+        heap = [found[0] << PLACE | i for i, (a, b) in enumerate(zip(region, region[1:], strict=False)) if (found := table.get(a << SHIFT | b))]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & place
+            j = after[i]
+            if region[i] < 0 or j == n:
+                continue
+            found = table.get(region[i] << SHIFT | region[j])
+            if not found or found[0] != top >> PLACE:
+                continue  # the pair that was here is gone
+            region[i], region[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                found = table.get(region[i] << SHIFT | region[k])
+                if found:
+                    heapq.heappush(heap, found[0] << PLACE | i)
+            h = before[i]
+            if h >= 0:
+                found = table.get(region[h] << SHIFT | region[i])
+                if found:
+                    heapq.heappush(heap, found[0] << PLACE | h)
+        return [s for s in region if s >= 0]
+
     def find(self, symbols: np.ndarray) -> np.ndarray:
         """For each position the index of the pair that starts there, or -1."""
         out = np.full(len(symbols), -1, np.int64)
@@ -44,9 +121,18 @@ class Merges:
 
     def apply(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """symbols of words of the given lengths (none empty) -> merged symbols and lengths, words in the same order."""
-        count = len(lengths)
-        word = np.repeat(np.arange(count), lengths)
+        count, word_of = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+        begins = self.regions(symbols, lengths)
+        word_of, sizes = word_of[begins], np.diff(np.append(begins, len(symbols)))
+        word = np.repeat(np.arange(len(begins)), sizes)
         done_symbols, done_words = [], []
+        if (sizes > LONG).any():
+            for r in np.flatnonzero(sizes > LONG).tolist():
+                made = self.by_heap(symbols[begins[r] : begins[r] + sizes[r]].tolist())
+                done_symbols.append(np.array(made, np.int64))
+                done_words.append(np.full(len(made), r))
+            rest = np.repeat(sizes <= LONG, sizes)
+            symbols, word = symbols[rest], word[rest]
         while len(symbols):
             first = np.empty(len(word), bool)
             first[0] = True
@@ -80,7 +166,7 @@ class Merges:
             return symbols, np.zeros(count, np.int64)
         all_words = np.concatenate(done_words)
         order = np.argsort(all_words, kind="stable")
-        return np.concatenate(done_symbols)[order], np.bincount(all_words, minlength=count)
+        return np.concatenate(done_symbols)[order], np.bincount(word_of[all_words], minlength=count)
 
 
 class Bounded(dict):

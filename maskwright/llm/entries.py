@@ -1,7 +1,6 @@
 """The queries of this subpackage and their SQL, for the registry at the top of the repository."""
 
-import corpus_pipeline
-
+from . import pipeline
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op1_language_id
 from .packing import op6_packing
@@ -24,8 +23,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 SQL = {"op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    SQL["pipeline"] = pipeline.ORACLE_SQL

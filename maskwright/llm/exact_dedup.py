@@ -7,7 +7,8 @@ third of all rows thus reaches any later task as a handful of rows.
 
 Defined cases: a null text counts as empty; a null id loses to any other id; an empty input gives an empty
 report. Rows repeated in full (same id, same text) cannot be told apart: each is marked kept if its id
-wins, and ``deduplicate`` leaves one of them.
+wins, and ``deduplicate`` leaves one of them. Other columns are passed through, and the new one is ``dedup`` with underscores before it
+if that is taken.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, table
+from .common import attach, column, free_name, materialize, packed, table
 
 SALTS = 16
 #: Groups of copies are broadcast up to this many (about 60 bytes each); beyond, the join is salted.
@@ -30,8 +31,8 @@ def sha256_digest(text: Column) -> Column:
 
 def copy_groups(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
     """One row per different text: digest, text, largest id, number of rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).alias("id"), text.alias("text"))
     rows = rows.select("id", "text", digest(F.col("text")).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
     salted = rows.groupBy("digest", "salt", "text").agg(F.max("id").alias("id"), F.count("*").alias("n"))
     return salted.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -45,13 +46,13 @@ def label_copies(
     digest: Callable[[Column], Column] = sha256_digest,
     broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
-    """docs with one column more, the struct ``dedup``: keep_id, group_size, kept and digest."""
+    """docs with one column more, a struct (``dedup``): keep_id, group_size, kept and digest."""
     full = copy_groups(docs, id_col, text_col, salts, digest)
     every = materialize(full.select("digest", "keep_id", "group_size"), "copies")
     collided = not every.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").isEmpty()
     groups = every.filter("group_size > 1")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    mine = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
+    text = F.coalesce(column(text_col), F.lit(""))
+    mine = docs.select(packed(docs.columns).alias("row"), column(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
     if collided:
         joined = mine.join(full.filter("group_size > 1"), ["digest", "text"], "left")  # two texts share a digest
     else:
@@ -63,13 +64,13 @@ def label_copies(
         (~grouped | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.col("digest"),
     )
-    return joined.select("row.*", found.alias("dedup"))
+    return joined.select("row.*", found.alias(free_name(docs, "dedup")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay: of equal texts one row, that with the largest id."""
     names = docs.columns
-    labelled = label_copies(docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
+    labelled = label_copies(docs.select(packed(names).alias("row"), column(id_col).alias("id"), column(text_col).alias("text")), "id", "text", **options)
     kept = labelled.filter("dedup.kept")
     tied = labelled.filter("dedup.kept and dedup.group_size > 1").groupBy("dedup.digest").agg(F.count("*").alias("n")).filter("n > 1")
     if not tied.isEmpty():

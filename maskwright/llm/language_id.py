@@ -6,11 +6,13 @@ longest known ones first: at each position the longest known n-gram counts, with
 down. A document's score is the posterior of the best language under the mean log likelihood of its words.
 
 Bounds: the fit counts about ``FIT_ROWS`` labelled documents per language, picked by a hash of the text, and keeps the
-``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language, so the model is broadcast. Every language of the labels is learned; the
-model's rows have one number for each.
+``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language, ``ENTRIES`` of a kind in all, so the model is
+broadcast; every one of these is a parameter. Every language of the labels is learned, and words and runs of letters of any length are
+cut whole, when learned as when scored. Only (entry, language) pairs that occur are stored.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where nothing could
-be learned; of equal scores the language first in order wins; rows with a null language are not learned from.
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0, as is every text where nothing could
+be learned; of equal scores the language first in order wins; of equally frequent entries the first in order is kept; rows with a null
+language or text are not learned from; a null id is held out; repeated rows count as often as they occur; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,22 +21,28 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .array_bpe import Bounded
-from .common import materialize, table
+from .common import column, materialize, table
 
-FIT_ROWS, WORDS, GRAMS = 20_000, 20_000, 20_000
+FIT_ROWS, WORDS, GRAMS, ENTRIES = 20_000, 20_000, 20_000, 2_000_000
 LONGEST = 4
 #: Log penalty of an unseen word, and of each n-gram length below the longest.
 UNSEEN, STEP = math.log(0.1), math.log(0.4)
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS, PLAIN = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 CACHE = 300_000
+SALTS = 16
+#: Up to this many languages a worker unpacks the model into a row of numbers per entry.
+DENSE = 16
 
 
 def held_out(id_col: Column) -> Column:
@@ -42,14 +50,49 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
-    """{"langs": [...], "words": (index, matrix), "grams": (index, matrix)}, of bounded size."""
-    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+@dataclass(frozen=True)
+class Logs:
+    """Log frequencies of entries by language: what an entry adds to the floor, for the languages that have it."""
+
+    index: dict[str, int]
+    starts: np.ndarray
+    langs: np.ndarray
+    above: np.ndarray
+    floor: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[str, int, int]], langs: int) -> Logs:
+        """rows: entry, place of language, count."""
+        rows = sorted(rows)
+        index = {e: i for i, e in enumerate(dict.fromkeys(r[0] for r in rows))}
+        place, counts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+        sizes = np.bincount(np.array([index[r[0]] for r in rows], np.int64), minlength=len(index)) if rows else np.zeros(0, np.int64)
+        totals = np.bincount(place, weights=counts, minlength=langs) + 0.5 * max(len(index), 1)
+        return Logs(index, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), place, np.log((counts + 0.5) / 0.5), np.log(0.5 / totals))
+
+    def dense(self) -> np.ndarray:
+        out = np.tile(self.floor, (len(self.index), 1))
+        entry = np.repeat(np.arange(len(self.index)), np.diff(self.starts))
+        out[entry, self.langs] += self.above
+        return out
+
+    def sum(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Sum over entries of times x log frequency, by language."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.floor * times.sum() + np.bincount(self.langs[at], weights=self.above[at] * np.repeat(times, sizes), minlength=len(self.floor))
+
+
+def fit(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS, entries: int = ENTRIES
+) -> dict:
+    """{"langs": [...], "words": Logs, "grams": Logs}, of bounded size."""
+    labelled = docs.select(column(lang_col).cast("string").alias("lang"), column(text_col).alias("text")).dropna()
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
     sizes = materialize(sizes, "languages")
     langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not langs:
-        return {"langs": [], "words": ({}, np.zeros((0, 0))), "grams": ({}, np.zeros((0, 0)))}
+        return {"langs": [], "words": Logs.of([], 0), "grams": Logs.of([], 0)}
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(rows) / F.col("docs")).alias("share"))
     unit = F.xxhash64("text") / F.lit(float(2**64)) + 0.5
     part = labelled.join(F.broadcast(share), "lang").filter(unit <= F.col("share"))
@@ -63,57 +106,66 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     grams_of = lambda k: F.transform(F.filter(starts, lambda i: i <= F.length("window") - (k - 1)), lambda i: F.substring("window", i, F.lit(k)))
     cut = F.flatten(F.array(*(grams_of(k) for k in range(1, LONGEST + 1))))
     parts = spread.select("lang", "n", F.explode(cut).alias("entry")).filter("entry != ' '").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    return {"langs": langs, "words": log_frequencies(counted, langs, words), "grams": log_frequencies(parts, langs, grams)}
+    return {"langs": langs, "words": log_frequencies(counted, langs, words, entries), "grams": log_frequencies(parts, langs, grams, entries)}
 
 
-def log_frequencies(counted: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Of the most frequent entries of each language: row of each entry, and smoothed log frequencies by language."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
-    rows = counted.withColumn("place", place).filter(F.col("place") <= most).select("lang", "entry", "n").collect()
-    index = {e: i for i, e in enumerate(dict.fromkeys(r["entry"] for r in rows))}
-    at, counts = {lang: i for i, lang in enumerate(langs)}, np.zeros((len(index), len(langs)))
-    for r in rows:
-        counts[index[r["entry"]], at[r["lang"]]] = r["n"]
-    return index, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(len(index), 1)))
+def log_frequencies(counted: DataFrame, langs: list[str], most: int, entries: int) -> Logs:
+    """Of the most frequent entries of each language. Each salt of a language is limited first, so no task gets all entries of one."""
+    most = max(1, min(most, entries // len(langs)))
+    order = (F.desc("n"), "entry")
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("entry"), F.lit(SALTS)))
+    first = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= most)
+    kept = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= most)
+    at = {lang: i for i, lang in enumerate(langs)}
+    return Logs.of([(r["entry"], at[r["lang"]], r["n"]) for r in kept.select("lang", "entry", "n").collect()], len(langs))
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        (self.words, self.word_logs), (self.grams, self.gram_logs) = model["words"], model["grams"]
+        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self.unseen = Bounded(CACHE)
+        self.word_logs = self.gram_logs = None
+
+    def unpack(self) -> None:
+        """On a worker, so that the broadcast is of what occurs only."""
+        if self.word_logs is None and len(self.langs) <= DENSE:
+            self.word_logs, self.gram_logs = self.words.dense(), self.grams.dense()
 
     def back_off(self, word: str) -> np.ndarray:
-        padded, rows, penalty = f" {word} ", [], 0.0
+        padded, rows, penalty, index = f" {word} ", [], 0.0, self.grams.index
         for i in range(len(padded)):
             for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                row = self.grams.get(padded[i : i + k])
+                row = index.get(padded[i : i + k])
                 if row is not None:
                     rows.append(row)
                     penalty += STEP * (LONGEST - k)
                     break
         if not rows:
             return np.full(len(self.langs), UNSEEN)
-        return UNSEEN + (self.gram_logs[rows].sum(axis=0) + penalty) / len(rows)
+        total = self.gram_logs[rows].sum(axis=0) if self.gram_logs is not None else self.grams.sum(np.array(rows), np.ones(len(rows)))
+        return UNSEEN + (total + penalty) / len(rows)
 
     def score(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        low = text.lower() if text else ""
+        counts = Counter((PLAIN if low.isascii() else LETTERS).findall(low))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        total, known, times = np.zeros(len(self.langs)), [], []
-        for word, row in zip(counts, map(self.words.get, counts), strict=True):
+        self.unpack()
+        total, known, times, index = np.zeros(len(self.langs)), [], [], self.words.index
+        unseen = [w for w in counts if w not in index]
+        for word in self.unseen.missing(unseen):
+            self.unseen[word] = self.back_off(word)
+        for word in unseen:
+            total += counts[word] * self.unseen[word]
+            if len(word) > 32:
+                del self.unseen[word]
+        for word, row in zip(counts, map(index.get, counts), strict=True):
             if row is not None:
                 known.append(row)
                 times.append(counts[word])
-            else:
-                scored = self.unseen.get(word)
-                if scored is None:
-                    scored = self.back_off(word)
-                    if len(word) <= 32:
-                        self.unseen[word] = scored
-                total += counts[word] * scored
         if known:
-            total += np.array(times, float) @ self.word_logs[known]
+            times = np.array(times, float)
+            total += times @ self.word_logs[known] if self.word_logs is not None else self.words.sum(np.array(known), times)
         total /= counts.total()
         shifted = np.exp(total - total.max())
         best = int(np.argmax(total))
@@ -134,8 +186,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 [id_col, "lang_pred", "score"],
             )
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, lang_pred string, score double")
+    rows = docs.select(column(id_col), column(text_col))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *T.StructType.fromDDL("lang_pred string, score double").fields]))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

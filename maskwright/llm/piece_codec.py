@@ -19,9 +19,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .array_bpe import Bounded, Merges
-from .common import table
+from .common import column, table
 from .token_counts import slices, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -137,8 +138,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [own.ids(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())], [id_col, "ids", "decoded"])
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, ids array<int>, decoded string")
+    rows = docs.select(column(id_col), column(text_col))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *T.StructType.fromDDL("ids array<int>, decoded string").fields]))
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +156,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(column(id_col), column(text_col))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields]))
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Fingerprints that differ in at most 3 of 64 bits share at least 5 of their 8 bytes, position by position. Single
 positional bytes make postings that grow with the corpus, so the index entries are positional byte quadruples:
-the 14 blocks of the Steiner system S(3,4,8), of which every 5 positions contain one. Each posting's pairs are tallied by
-shared positional bytes, those with 5 or more are verified on their bits, and only links of a spanning forest
-leave the posting. Equal fingerprints are one entry.
+the 14 blocks of the Steiner system S(3,4,8), of which every 5 positions contain one (a pair that shares 5, 6, 7 or 8 bytes meets in
+1, 3, 7 or 14 postings, one that shares fewer in 1 at most). In each posting the positional bytes that are still open are indexed
+again, the lists that hold both of a pair are counted, pairs with 5 shared bytes or more in all are verified on their bits, and only
+links of a spanning forest leave the posting. Equal fingerprints are one entry.
 
 A posting longer than ``POSTING`` is refined: of its free bits, split into four parts, a pair within 3 bits shares one
 part whole, so each fingerprint goes on under four longer keys; after three refinements at most 14 bits are free,
 which bounds any posting. No link is lost, and no group is collected without a bound.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; component ids are the smallest id
-reached; rows without an id take part in links but name no component; an empty table gives an empty result.
+reached; rows without an id take part in links but name no component; repeated rows are one group; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, materialize, table
+from .common import BROADCAST_ROWS, attach, column, materialize, table
 from .components import components
 
 SHINGLE, SEED, BITS, SHARED = 3, 42, 3, 5
-POSTING = 2048
+POSTING, PAIRS = 2048, 1 << 21
 #: The blocks of S(3,4,8) on positions 0 to 7, each with its complement.
 BLOCKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 2, 4, 6), (0, 2, 5, 7), (0, 3, 4, 7), (0, 3, 5, 6))
 BLOCKS += tuple(tuple(i for i in range(8) if i not in b) for b in BLOCKS)
@@ -57,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             made = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.int64())], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, fp bigint")
 
 
@@ -76,18 +78,55 @@ def refinements(mask: int) -> list[int]:
     return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def forest(group: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def tallied(group: np.ndarray, least: int = SHARED, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of a posting that share `least` positional bytes or more.
+
+    The posting has an inverted index of its own: at each position where bytes differ, fingerprints by byte. A pair's tally is the
+    number of lists that hold both, and of positions where all agree. Tallies are counted for so many rows at a time that
+    about `pairs` list entries are held.
+    """
+    n, parts = len(group), np.ascontiguousarray(group).view(np.uint8).reshape(-1, 8)
+    open_at = np.flatnonzero((parts != parts[0]).any(axis=0))
+    need = least - (8 - len(open_at))
+    if need <= 0:
+        # whatever the lists say, every pair of this posting has enough; refinement bounds how many such there are
+        rows = max(1, pairs // n)
+        for at in range(0, n, rows):
+            i, j = np.nonzero(np.arange(at, min(at + rows, n))[:, None] < np.arange(n)[None, :])
+            yield i + at, j
+        return
+    lists = []
+    for p in open_at.tolist():
+        order = np.argsort(parts[:, p], kind="stable")
+        value = parts[order, p]
+        slot = np.empty(n, np.int64)
+        slot[order] = np.arange(n)
+        ends = np.searchsorted(value, value, side="right")
+        lists.append((order, slot, (ends[slot] - slot - 1)))
+    heads = np.cumsum(sum(after for _, _, after in lists))
+    at = 0
+    while at < n:
+        before = heads[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(heads, before + pairs, side="right")))
+        keys = []
+        for order, slot, after in lists:
+            count = after[at:end]
+            i = np.repeat(np.arange(at, end), count)
+            place = np.repeat(slot[at:end] + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+            keys.append(i * n + order[place])
+        key, tally = np.unique(np.concatenate(keys), return_counts=True)
+        key = key[tally >= need]
+        yield key // n, key % n
+        at = end
+
+
+def forest(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over the fingerprints of a posting: (node, least node of its part)."""
     group = np.unique(group)
-    label = np.arange(len(group))
-    links = []
-    for at in range(0, len(group), rows):
-        part = group[at : at + rows]
-        differ = part[:, None] ^ group[None, :]
-        tally = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
-        i, j = np.nonzero(tally >= SHARED)
-        near = (i + at < j) & (np.bitwise_count(differ[i, j].view(np.uint64)) <= BITS)
-        links.append(np.stack([i[near] + at, j[near]]))
+    label, links = np.arange(len(group)), []
+    for i, j in tallied(group):
+        near = np.bitwise_count((group[i] ^ group[j]).view(np.uint64)) <= BITS
+        links.append(np.stack([i[near], j[near]]))
     i, j = np.concatenate(links, axis=1)
     while len(i):
         least = np.minimum(label[i], label[j])

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .array_bpe import Bounded, Merges
-from .common import table
+from .common import column, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Fixed value: the pre-token pattern of this family of vocabularies.
@@ -119,8 +120,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             sizes = [len(t.encode()) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, n_tokens long")
+    rows = docs.select(column(id_col), column(text_col))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *T.StructType.fromDDL("n_bytes long, n_tokens long").fields]))
 
 
 def tokenizer_path(name: str) -> str:

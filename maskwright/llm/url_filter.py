@@ -7,7 +7,9 @@ expanded, so the number of expressions of a url is bounded by the rules, however
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and meets no rule; a url without a
 path meets only rules with an empty path; of equally long rules the one with the longer host wins, and of
-a rule listed with both verdicts ``block``. Repeated urls are judged once and the verdict is joined back.
+a rule listed with both verdicts ``block``; null rules are no rules. Repeated urls are judged once and the verdict is joined back, by salts
+where urls with a rule are many, since one url may be on a third of the pages; null and repeated page ids are nothing special; an empty table gives an
+empty result; other columns are passed through, and the new one is ``filter`` with underscores before it if that is taken.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import attach, column, free_name, materialize, packed, table
 
 #: (verdict, host, path); a rule holds for its host and all subdomains, where the path starts with its path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -26,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 8
 #: Rules are broadcast up to this many (about 150 bytes each); beyond, both sides are shuffled by hash prefix.
 BROADCAST_RULES = 50_000
+#: Verdicts are broadcast up to this many (a digest and a rule each).
+BROADCAST_VERDICTS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,32 +49,38 @@ def with_digest(df: DataFrame, expression: Column) -> DataFrame:
     return df.withColumn("full", F.sha2(expression, 256)).withColumn("prefix", F.substring("full", 1, PREFIX))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """pages with one column more, the struct ``filter``: host, path, rule and verdict."""
+def judge(
+    pages: DataFrame,
+    rules: DataFrame,
+    url_col: str = "url",
+    default: str = "allow",
+    broadcast_rules: int = BROADCAST_RULES,
+    broadcast_verdicts: int = BROADCAST_VERDICTS,
+) -> DataFrame:
+    """pages with one column more, a struct (``filter``): host, path, rule and verdict."""
     listed = with_digest(rules.select("verdict", "host", "path").dropna(), F.concat("host", "path")).select("verdict", "host", "path", "full", "prefix")
     size, depths, lengths = listed.agg(
         F.count("*"), F.collect_set(F.size(F.split("host", "\\."))), F.collect_set(F.length("path"))
     ).first()
     host, path = host_and_path(F.col("url"))
-    urls = pages.select(F.col(url_col).alias("url")).filter("url is not null").distinct().select("url", host.alias("h"), path.alias("p"))
+    address = F.unhex(F.sha2("url", 256))
+    urls = pages.select(column(url_col).alias("url")).filter("url is not null").distinct().select(address.alias("address"), host.alias("h"), path.alias("p"))
     labels = urls.withColumn("labels", F.split("h", "\\."))
     array = lambda xs: F.array(*(F.lit(int(x)) for x in sorted(xs))) if xs else F.array().cast("array<int>")
     hosts = labels.withColumn("depth", F.explode(F.filter(array(depths), lambda d: d <= F.size("labels"))))
     both = hosts.withColumn("cut", F.explode(F.filter(array(lengths), lambda n: n <= F.length("p"))))
     suffix = F.array_join(F.slice("labels", F.size("labels") - F.col("depth") + 1, F.col("depth")), ".")
-    expanded = with_digest(both, F.concat(suffix, F.col("p").substr(F.lit(1), F.col("cut")))).select("url", "prefix", "full")
+    expanded = with_digest(both, F.concat(suffix, F.col("p").substr(F.lit(1), F.col("cut")))).select("address", "prefix", "full")
     near = expanded.join(F.broadcast(listed) if size <= broadcast_rules else listed, "prefix").filter(expanded["full"] == listed["full"])
     rank = F.struct(F.length("host") + F.length("path"), F.length("host"), F.when(F.col("verdict") == "block", 1).otherwise(0))
-    best = near.groupBy("url").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), rank).alias("best"))
-    host, path = host_and_path(pages[url_col])
-    judged = pages.select(F.struct(*pages.columns).alias("row"), pages[url_col].alias("url"), host.alias("h"), path.alias("p")).join(best, "url", "left")
-    return judged.select(
-        "row.*",
-        F.struct(
-            F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        ).alias("filter"),
-    )
+    best = near.groupBy("address").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), rank).alias("best"))
+    best = materialize(best, "verdicts")
+    each = pages.select(packed(pages.columns).alias("row"), column(url_col).alias("url"))
+    # many pages have the same url, or none: what spreads them is the whole row
+    each = each.select("row", host.alias("h"), path.alias("p"), address.alias("address"), F.xxhash64("row").alias("spread"))
+    judged = attach(each, best, "address", "spread", broadcast_verdicts)
+    verdict = F.struct(F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.select("row.*", verdict.alias(free_name(pages, "filter")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

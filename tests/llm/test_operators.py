@@ -421,9 +421,9 @@ def test_language_learns_ngrams_of_whole_runs(spark):
         model = fit(docs(spark, [text], ["zh"]))
         padded = f" {text} "
         want = Counter(padded[i : i + k] for k in range(1, 5) for i in range(len(padded) - k + 1) if padded[i : i + k] != " ")
-        index, logs = model["grams"]
+        index = model["grams"].index
         counts = np.array([want[g] for g in index])
-        assert set(index) == set(want) and np.allclose(logs[:, 0], np.log((counts + 0.5) / (counts.sum() + 0.5 * len(index))))
+        assert set(index) == set(want) and np.allclose(model["grams"].dense()[:, 0], np.log((counts + 0.5) / (counts.sum() + 0.5 * len(index))))
 
 
 def test_language_keeps_every_label(spark):

@@ -11,7 +11,8 @@ import corpus_pipeline
 from maskwright.llm.quality import OP9_SQL
 from maskwright.llm.token_counts import tokenizer_path
 
-from .test_operators import plain_components, plain_fingerprint, plain_spans
+from .test_near_copies import plain_groups
+from .test_operators import plain_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,11 +40,8 @@ def test_pipeline_equals_the_plain_one(spark):
     for d in kept:
         best[documents[d]] = max(d, best.get(documents[d], d))
     left = sorted(best.values())
-    roots = plain_components([plain_fingerprint(documents[d]) for d in left])
-    first = {}
-    for d, root in zip(left, roots, strict=True):
-        first.setdefault(root, d)
-    texts = {d: plain_redaction(documents[d]) for d in first.values()}
+    gone = plain_groups([documents[d] for d in left])
+    texts = {d: plain_redaction(documents[d]) for k, d in enumerate(left) if k not in gone}
     own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     ids = {d: np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
     found = corpus_pipeline.run(spark, SF).collect()
@@ -66,4 +64,17 @@ def test_stages_take_empty_tables_and_nulls(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
 
 
+def test_stages_take_long_texts_and_further_columns(spark):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(k, t, "en", "s", 0, 7, 8) for k, t in enumerate([long, long, long + " end", "the of and to in a is that for it was on are"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, secrets int, `a.b` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[-2:] == ["secrets", "a.b"]
+        if name == "exact_dedup":
+            assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == [1, 3]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).agg({"length": "sum"}).first()[0] > 60_000
+
+
 pytestmark = pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables here")
