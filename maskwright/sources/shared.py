@@ -9,16 +9,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.errors import EngineError
+
+
+#: The folder of each local application that has none set.
+LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only where all run on one machine is a local one made if none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
+    if at:
+        return at.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise EngineError("CONFIGURATION_INVALID", "spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in LOCAL:
         own = tempfile.mkdtemp(prefix="maskwright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        LOCAL[context.applicationId] = f"file://{own}"
+    return LOCAL[context.applicationId]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
