@@ -7,20 +7,27 @@ import json
 import sys
 from pathlib import Path
 
+from . import __version__
 from .plans import engine
 from .plans.errors import EngineError
 from .plans.policy import unique_json
 
+#: The commands.
 COMMANDS = ("capabilities", "plan", "preflight", "pseudonymize", "verify", "recover", "export-bundle", "verify-bundle", "self-test")
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="maskwright", description="Reversible dataset pseudonymization on Spark.")
+    out.add_argument("--version", action="version", version=__version__)
+    out.add_argument("--workers", type=int, help="cores of a local session; a cluster's are set by its master")
     commands = out.add_subparsers(dest="command", required=True)
     for name in COMMANDS:
         sub = commands.add_parser(name)
         sub.add_argument("--json", action="store_true", help="print one machine-readable result")
-        if name in ("plan", "preflight", "pseudonymize", "verify", "recover", "export-bundle"):
+        if name == "recover":
+            for argument in ("output", "vault"):
+                sub.add_argument(argument)
+        if name in ("plan", "preflight", "pseudonymize", "verify", "export-bundle"):
             for argument in ("source", "output", "vault"):
                 sub.add_argument(argument)
             sub.add_argument("--policy", type=Path)
@@ -56,6 +63,8 @@ def run(args: argparse.Namespace, spark) -> dict:
         return self_test(spark)
     if args.command == "verify-bundle":
         return engine.verify_bundle(spark, args.bundle)
+    if args.command == "recover":
+        return engine.recover_output(spark, args.output, args.vault, args.target, enabled=args.recovery_policy == "enabled")
     load = lambda p: unique_json(p.read_bytes()) if p else None
     plan = engine.build_plan(spark, args.source, args.output, args.vault, load(args.policy), load(args.relationships))
     if args.command == "plan":
@@ -67,8 +76,6 @@ def run(args: argparse.Namespace, spark) -> dict:
         return engine.pseudonymize(spark, plan)
     if args.command == "verify":
         return engine.verify_dataset(spark, plan)
-    if args.command == "recover":
-        return engine.recover(spark, plan, args.target, enabled=args.recovery_policy == "enabled")
     return engine.create_bundle(spark, plan, args.target)
 
 
@@ -77,7 +84,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if spark is None and args.command != "capabilities":
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.appName("maskwright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        builder = SparkSession.builder.appName("maskwright").config("spark.sql.session.timeZone", "UTC")
+        spark = (builder.master(f"local[{args.workers}]") if args.workers else builder).getOrCreate()
     try:
         found, status = run(args, spark), 0
         status = 1 if found.get("status") == "FAIL" or found.get("ready") is False else 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: What a masked long field reads; the second where the original is the first.
 MASK, MASK_OTHER = "[MASKED-MEMO]", "[MASKED-MEMO-ALT]"
-#: Ordinal of the last day of year 9999; day 1 is 0001-01-01.
+#: Ordinal of the last day of year 9999 (day 1 is 0001-01-01), and of 1970-01-01.
 LAST_DAY, UNIX_DAY = 3_652_059, 719_163
 CANONICAL = r"^(0|-?[1-9][0-9]*)$"
 WIDEST = 20
@@ -42,7 +42,9 @@ def shift_interval(least: int | None, most: int | None) -> tuple[int, int] | Non
 
 
 def canonical_text(value: Column) -> Column:
-    return value.cast("decimal(38,0)").cast("string")
+    """The integer as text; a fraction is refused, never rounded into a key."""
+    whole = value.cast("decimal(38,0)")
+    return F.when(value.isNull(), None).when(whole == value, whole.cast("string")).otherwise(F.raise_error(F.lit("NUMERIC_KEY_NOT_INTEGRAL")).cast("string"))
 
 
 def parse_canonical(text: Column) -> Column:
@@ -77,10 +79,10 @@ def intersect(ranges: list[tuple[int, int]]) -> tuple[int, int] | None:
 
 
 def member_verdict(value: Column, kind: str, width: int) -> Column:
-    """REVERSIBLE, RECOVERY_UNWRITABLE (readable, but can't be written back) or OUT_OF_MEMBER_RANGE."""
+    """REVERSIBLE, RECOVERY_UNWRITABLE (readable, but can't be written back) or OUT_OF_MEMBER_RANGE, as is a fraction. The names are fixed values."""
     low, high = member_range(kind, width)
     whole = value.cast("decimal(38,0)")
     verdict = F.when(whole.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)")), "REVERSIBLE")
     if kind == "I":
         verdict = verdict.when(whole.isin(-(2**31), 2**31 - 1), "RECOVERY_UNWRITABLE")
-    return F.when(value.isNull(), None).otherwise(verdict.otherwise("OUT_OF_MEMBER_RANGE"))
+    return F.when(value.isNull(), None).when(whole != value, "OUT_OF_MEMBER_RANGE").otherwise(verdict.otherwise("OUT_OF_MEMBER_RANGE"))

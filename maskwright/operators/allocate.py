@@ -102,8 +102,14 @@ def draw_tokens(count: int, length: int, alphabet: str, spark: SparkSession) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = ["".join(alphabet[secrets.randbelow(base)] for _ in range(length)) for _ in range(batch.num_rows)]
-            yield pa.record_batch([pa.array(drawn, pa.string())], ["token"])
+            need, parts = batch.num_rows * length, []
+            while need > 0:
+                # bytes beyond the last whole multiple of the base would make some characters more likely
+                raw = np.frombuffer(secrets.token_bytes(need + need // 4 + 16), np.uint8)
+                parts.append(raw[raw < 256 // base * base][:need] % base)
+                need -= len(parts[-1])
+            letters = np.array(list(alphabet))[np.concatenate(parts)] if parts else np.zeros(0, "U1")
+            yield pa.record_batch([pa.array(letters.view(f"U{length}").tolist(), pa.string())], ["token"])
 
     return spark.range(count).mapInArrow(run, "token string")
 
@@ -219,17 +225,46 @@ def tight_text(rest: DataFrame, mapped: DataFrame, facts: WidthFacts, alphabet:
             tight = width
     # originals up to the tight width share a token space that is at most twice as large as they are; wider ones follow
     inner = rest.filter(F.col("min_width") <= tight)
-    if inner.count() > TIGHT:
-        raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE", "TIGHT_DOMAIN_TOO_LARGE")
-    originals = [(r["value"], r["min_width"]) for r in inner.collect()]
-    occupied = {r[0] for r in mapped.filter(F.length("token") <= tight).select("token").collect()}
-    found = tight_assignment(originals, occupied, alphabet)
-    spark = rest.sparkSession
-    first = spark.createDataFrame(list(found.items()), "value string, token string")
+    taken = mapped.filter(F.length("token") <= tight).select("token")
+    if inner.count() <= TIGHT and taken.count() <= TIGHT:
+        found = tight_assignment([(r["value"], r["min_width"]) for r in inner.collect()], {r["token"] for r in taken.collect()}, alphabet)
+        first = rest.sparkSession.createDataFrame(list(found.items()), "value string, token string")
+    else:
+        first = tight_by_classes(inner, taken, facts, tight, alphabet)
     outer = rest.filter(F.col("min_width") > tight)
     if outer.isEmpty():
         return first
-    return first.unionByName(allocate_text(outer, mapped.unionByName(first)))
+    return first.unionByName(allocate_text(outer, mapped.unionByName(first), alphabet))
+
+
+def tight_by_classes(inner: DataFrame, taken: DataFrame, facts: WidthFacts, tight: int, alphabet: str) -> DataFrame:
+    """The same for a domain of any size: tokens by length class, everybody's own among them, then a swap for each that met itself.
+
+    A random order has about one such for each class, whatever their sizes, and a swap partner is any pair whose tokens fit both ways.
+    """
+    spark = inner.sparkSession
+    own = WidthFacts({w: n for w, n in facts.originals.items() if w <= tight}, facts.occupied, {}, facts.base)
+    ranked, parts = dense_index(inner, "min_width", F.encode("value", "UTF-8")), []
+    for length, first, end in length_classes(own, sum(own.originals.values())):
+        tokens = fresh_tokens(end - first, length, taken, alphabet, spark).withColumn("k", F.col("j") + first)
+        parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token"), "k").select("value", "min_width", "token"))
+    pairs = materialize(stacked(parts, spark, "value string, min_width int, token string"), "tight")
+    fixed, swapped = pairs.filter("value = token").collect(), {}
+    for r in fixed:
+        if r["value"] in swapped:
+            continue
+        fits = (F.length("token") <= r["min_width"]) & (F.col("min_width") >= len(r["token"])) & (F.col("value") != r["value"])
+        # each swap so far keeps one partner and one fixed pair from being chosen again
+        others = pairs.filter(fits).orderBy(F.col("value") != F.col("token")).limit(2 * len(fixed) + 1).collect()
+        other = next((o for o in others if o["value"] not in swapped), None)
+        if other is None:
+            raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE")
+        swapped[r["value"]], swapped[other["value"]] = other["token"], r["token"]
+    pairs = pairs.select("value", "token")
+    if not swapped:
+        return pairs
+    new = spark.createDataFrame(list(swapped.items()), "value string, token string")
+    return pairs.join(F.broadcast(new.select("value")), "value", "left_anti").unionByName(new)
 
 
 def numeric_feasible(low: int, high: int, originals: int, occupied: int, own_free: int) -> bool:
@@ -289,25 +324,25 @@ def fresh_numbers(count: int, low: int, high: int, blocked: DataFrame, spark: Sp
 
 
 def without_fixed_points(pairs: DataFrame, blocked: DataFrame, low: int, high: int) -> DataFrame:
-    """A random one-to-one assignment has about one fixed point, whatever its size: those few are rotated among themselves and a partner."""
+    """Originals that got themselves pass their tokens on in a circle, however many they are; a single one swaps with any other pair, or takes a free number."""
     spark = pairs.sparkSession
-    fixed = [r["value"] for r in pairs.filter("value = token").limit(1001).collect()]
-    if not fixed:
+    fixed = materialize(pairs.filter("value = token").select("value"), "fixed")
+    count = fixed.count()
+    if not count:
         return pairs
-    if len(fixed) > 1000:
-        raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE", "NUMERIC_FIXED_POINTS")
-    partner = [(r["value"], r["token"]) for r in pairs.filter("value != token").limit(1).collect()]
-    cycle = [(v, v) for v in fixed] + partner
-    if len(cycle) == 1:
-        used = {cycle[0][1]}
-        spare = next((str(x) for x in range(low, high + 1) if str(x) not in used and blocked.filter(F.col("token") == str(x)).isEmpty()), None)
-        if spare is None:
-            raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE")
-        changed = [(fixed[0], spare)]
+    if count > 1:
+        placed = dense_index(fixed, "value").select("k", "value")
+        new = placed.join(placed.select(F.pmod(F.col("k") - 1, F.lit(count)).alias("k"), F.col("value").alias("token")), "k").select("value", "token")
     else:
-        tokens = [t for _, t in cycle]
-        changed = [(v, t) for (v, _), t in zip(cycle, tokens[1:] + tokens[:1], strict=True)]
-    new = spark.createDataFrame(changed, "value string, token string")
+        value, partner = fixed.first()["value"], pairs.filter("value != token").first()
+        if partner:
+            changed = [(value, partner["token"]), (partner["value"], value)]
+        else:
+            taken = blocked.select("token").unionByName(fixed.select(F.col("value").alias("token"))).distinct()
+            if high - low + 1 <= taken.count():
+                raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE")
+            changed = [(value, fresh_numbers(1, low, high, taken, spark).first()["token"])]
+        new = spark.createDataFrame(changed, "value string, token string")
     return pairs.join(new.select("value"), "value", "left_anti").unionByName(new)
 
 

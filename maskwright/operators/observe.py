@@ -30,13 +30,13 @@ def text_observations(dataset: Dataset, spark: SparkSession, actions=None) -> Da
     return stacked(parts, spark, "value string, width int").groupBy("value").agg(F.min("width").alias("min_width"))
 
 
-def observed_encodings(dataset: Dataset) -> set[str]:
-    """Encodings of the tables that hold a non-empty text."""
+def observed_encodings(dataset: Dataset, actions=None) -> set[str]:
+    """Encodings of the chosen fields that hold a non-empty text."""
     found = set()
     for table in dataset:
         by_code: dict[str, list[str]] = {}
         for f in table.facts:
-            if f.dbf_type in "CV":
+            if f.dbf_type in "CV" and (actions is None or actions(table, f)):
                 by_code.setdefault(f.encoding, []).append(f.name)
         for encoding, names in by_code.items():
             some = reduce(lambda a, b: a | b, (F.coalesce(F.col(n) != "", F.lit(False)) for n in names))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.values import canonical_text, mask, shift
 from ..plans.schema import INDEX, MASKED, PSEUDONYMIZE, SHIFT, FieldFact, Table
 
-#: Mappings are broadcast up to this many pairs; beyond, Spark chooses a join by shuffle.
+#: Mappings are broadcast up to this many pairs; beyond, the join is by shuffle, with salts.
 BROADCAST_PAIRS = 200_000
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,23 @@ class FieldPlan:
 
 
 def looked_up(df: DataFrame, column: str, mapping: DataFrame, key: str, value: str, out: str, small: bool) -> DataFrame:
-    """df with `out`, the partner of `column` in a mapping. A null never meets a partner."""
+    """df with `out`, the partner of `column` in a mapping. A null never meets a partner.
+
+    A large mapping is repeated for each salt, and records are dealt by value and a salt of their place, so that one value, or none, on a third
+    of all records is spread.
+    """
     pairs = mapping.select(F.col(key).alias(f"{out}_key"), F.col(value).alias(out))
-    pairs = F.broadcast(pairs) if small else pairs
-    return df.join(pairs, df[column] == F.col(f"{out}_key"), "left").drop(f"{out}_key")
+    if small:
+        return df.join(F.broadcast(pairs), df[column] == F.col(f"{out}_key"), "left").drop(f"{out}_key")
+    place = next((c for c in (INDEX, "_at") if c in df.columns), None)
+    salt = F.pmod(F.xxhash64(place), F.lit(SALTS)) if place else F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS))
+    pairs = pairs.withColumn(f"{out}_salt", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS)))))
+    left = df.withColumn("_salt", salt)
+    return left.join(pairs, (left[column] == F.col(f"{out}_key")) & (left["_salt"] == F.col(f"{out}_salt")), "left").drop(f"{out}_key", f"{out}_salt", "_salt")
+
+
+def fits_broadcast(*mappings: DataFrame) -> bool:
+    return all(m.count() <= BROADCAST_PAIRS for m in mappings)
 
 
 def rewrite(table: Table, plans: list[FieldPlan], text: DataFrame, numbers: DataFrame, offset: int | None, small: bool, back: bool = False) -> DataFrame:

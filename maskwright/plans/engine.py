@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions.tokens import candidate_alphabet
 from ..operators import allocate, capacity, evidence, observe, transform, verify
-from ..operators.transform import BROADCAST_PAIRS, FieldPlan
+from ..operators.transform import FieldPlan
 from ..sources.dataset import inventory, output_fingerprint, read_dataset, schema_fingerprint, source_fingerprint, write_table
 from ..sources.shared import Files
 from ..sources.vault import TABLES, Vault, now
@@ -74,6 +74,40 @@ class Plan:
         }
 
 
+@dataclass(frozen=True)
+class Completed:
+    """What a vault says of a completed operation: all that recovery needs, without the source."""
+
+    output: str
+    vault: str
+    operation_id: str
+    dataset_id: str
+    destination: str
+    facts: dict[str, dict[str, FieldFact]]
+    fields: tuple[FieldPlan, ...]
+
+    def of(self, table: str) -> list[FieldPlan]:
+        return [f for f in self.fields if f.table == table]
+
+
+def completed(spark: SparkSession, output: str, vault: str) -> Completed:
+    """The operation that made output, from output and vault alone."""
+    store, at = Vault.open(spark, vault), digest("dst-", output, 32)
+    found = [(k, v) for k, v in store.state["operations"].items() if v["state"] == "COMPLETED" and v["destination"] == at]
+    if not found:
+        raise EngineError("RECOVERY_FAILED", "NO_COMPLETED_OPERATION")
+    operation, entry = found[-1]
+    rows = store.read("fields").join(store.read("tables"), "table_id").select("relative_path", "name", "transform_action", "mapping_domain_id").collect()
+    dataset = read_dataset(spark, output, None, sorted({r["relative_path"] for r in store.read("tables").select("relative_path").collect()}))
+    facts = {t.path: t.fields for t in dataset}
+    order = {(t, n): k for t in facts for k, n in enumerate(facts[t])}
+    if any((r["relative_path"], r["name"]) not in order for r in rows):
+        raise EngineError("RECOVERY_FAILED", "OUTPUT_SCHEMA_MISMATCH")
+    rows = sorted(rows, key=lambda r: (r["relative_path"], order[r["relative_path"], r["name"]]))
+    fields = tuple(FieldPlan(r["relative_path"], facts[r["relative_path"]][r["name"]], r["transform_action"], r["mapping_domain_id"]) for r in rows)
+    return Completed(output, vault, operation, entry["receipt"]["dataset_id"], at, facts, fields)
+
+
 def apart(*paths: str) -> None:
     clean = [p.rstrip("/") + "/" for p in paths]
     for i, a in enumerate(clean):
@@ -181,6 +215,14 @@ def preflight(spark: SparkSession, plan: Plan, *, progress: Callback = None, can
                 errors.append("PSEUDONYM_CAPACITY_INSUFFICIENT")
             for code in capacity.numeric_capacity(dataset, spark, plan.numeric, {d: pairs(vault, d) for d in {x[0] for x in plan.numeric.values()}}):
                 errors.append(code)
+        needed = capacity.storage_estimate([n for _, n in inventory(spark, plan.source)], vault=True)
+        free = files.free(plan.output)
+        if free is not None and free < needed:
+            errors.append("STORAGE_INSUFFICIENT")
+        elif free is None:
+            warnings.append("STORAGE_UNKNOWN")
+    if plan.identity_review:
+        warnings.append("IDENTITY_REVIEW_RECOMMENDED")
     checks = ["PREFLIGHT_EVALUATED"] + (["DATA_ONLY_STANDALONE"] if plan.policy["indexes"]["profile"] == "DATA_ONLY" else [])
     return Preflight(tuple(dict.fromkeys(errors)), tuple(warnings), tuple(checks))
 
@@ -194,7 +236,7 @@ def pairs(vault: Vault, domain: str) -> DataFrame:
     return own.select(F.col("original_value").alias("value"), F.col("pseudonym_value").alias("token"))
 
 
-def ids_of(plan: Plan) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
+def ids_of(plan: Plan | Completed) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
     tables = {t: digest("tbl-", [plan.dataset_id, t], 32) for t in plan.facts}
     return tables, {t: {n: digest("fld-", [tables[t], n], 32) for n in plan.facts[t]} for t in plan.facts}
 
@@ -208,7 +250,7 @@ def pass_one(spark: SparkSession, plan: Plan, dataset: Dataset, vault: Vault, wa
         least, most = observe.temporal_extremes(dataset, spark, acts(plan, SHIFT)).first()
         memos = [m for t in dataset if (m := transform.memo_rows(t, tables[t.path], plan.of(t.path), fields[t.path])) is not None]
     with watch.phase("PASS1_FINALIZE"):
-        encodings = {f.fact.encoding for f in plan.fields if f.action == PSEUDONYMIZE and f.fact.dbf_type in "CV"}
+        encodings = observe.observed_encodings(dataset, acts(plan, PSEUDONYMIZE))
         mapped = allocate.allocate_text(texts, text_pairs(vault), candidate_alphabet(sorted(encodings)) if encodings else "")
         old = text_pairs(vault).join(mapped.select("value"), "value", "left_anti")
         text = mapped.unionByName(old).select(
@@ -248,6 +290,10 @@ def pseudonymize(spark: SparkSession, plan: Plan, *, progress: Callback = None,
     watch = Progress(plan.operation_id, progress, cancel, spark)
     files, vault = Files(spark), Vault(spark, plan.vault)
     done = vault.state["operations"].get(plan.operation_id)
+    if done and done["state"] == "STARTED" and reconcile(spark, plan) == "COMPLETED":
+        # a run that crashed between rename and receipt
+        vault = Vault(spark, plan.vault)
+        done = vault.state["operations"][plan.operation_id]
     if done and done["state"] == "COMPLETED" and files.exists(plan.output):
         if output_fingerprint(spark, plan.output) == done["receipt"]["output_fingerprint"]:
             return done["receipt"]
@@ -290,7 +336,7 @@ def pseudonymize(spark: SparkSession, plan: Plan, *, progress: Callback = None,
 def write_all(spark: SparkSession, plan: Plan, dataset: Dataset, vault: Vault, staging: str, step=None) -> None:
     text, numbers = vault.read("text_mappings"), vault.read("numeric_key_mappings")
     offset = vault.read("temporal_parameters").first()
-    small = text.count() <= BROADCAST_PAIRS and numbers.count() <= BROADCAST_PAIRS
+    small = transform.fits_broadcast(text, numbers)
     for k, table in enumerate(dataset):
         df = transform.rewrite(table, plan.of(table.path), text, numbers, offset["offset_days"] if offset else None, small)
         write_table(df, table.facts, f"{staging}/{table.path}")
@@ -384,7 +430,7 @@ def verify_dataset(spark: SparkSession, plan: Plan, *, progress: Callback = None
     codes |= {r["code"] for r in verify.ledger_difference(want, have).collect()}
     offset = vault.read("temporal_parameters").first()
     text, numbers, memos = (vault.read(n) for n in ("text_mappings", "numeric_key_mappings", "memo_recovery"))
-    small = text.count() <= BROADCAST_PAIRS and numbers.count() <= BROADCAST_PAIRS
+    small = transform.fits_broadcast(text, numbers)
     source = load(spark, plan)
     with watch.phase("VERIFICATION"):
         output = read_dataset(spark, plan.output, None, [p for p in there if p in plan.facts])
@@ -403,7 +449,14 @@ def verify_dataset(spark: SparkSession, plan: Plan, *, progress: Callback = None
     return {"status": verify.verdict(codes), "codes": sorted(codes), "findings": found}
 
 
-def recover(spark: SparkSession, plan: Plan, target: str, *, enabled: bool = True, progress: Callback = None, cancel: Cancel = None) -> dict:
+def recover_output(spark: SparkSession, output: str, vault: str, target: str, *, enabled: bool = True, progress: Callback = None, cancel: Cancel = None) -> dict:
+    """The originals in a new process, with no plan and no source at hand."""
+    if not enabled:
+        raise EngineError("RECOVERY_NOT_PERMITTED")
+    return recover(spark, completed(spark, output, vault), target, progress=progress, cancel=cancel)
+
+
+def recover(spark: SparkSession, plan: Plan | Completed, target: str, *, enabled: bool = True, progress: Callback = None, cancel: Cancel = None) -> dict:
     """The originals from output and vault, without the source. Staged, checked against the inverse, then renamed."""
     if not enabled:
         raise EngineError("RECOVERY_NOT_PERMITTED")
@@ -440,18 +493,18 @@ def recover(spark: SparkSession, plan: Plan, target: str, *, enabled: bool = Tru
     return {"operation_id": plan.operation_id, "canonical_verified": True, "raw_byte_equivalence": "NOT_EVALUATED", "tables": sorted(plan.facts)}
 
 
-def rewritten(plan: Plan, dataset: Dataset, vault: Vault) -> dict[str, DataFrame]:
+def rewritten(plan: Plan | Completed, dataset: Dataset, vault: Vault) -> dict[str, DataFrame]:
     offset = vault.read("temporal_parameters").first()
     text, numbers = vault.read("text_mappings"), vault.read("numeric_key_mappings")
-    small = text.count() <= BROADCAST_PAIRS and numbers.count() <= BROADCAST_PAIRS
+    small = transform.fits_broadcast(text, numbers)
     return {t.path: transform.rewrite(t, plan.of(t.path), text, numbers, offset["offset_days"] if offset else None, small) for t in dataset}
 
 
-def recovered(plan: Plan, dataset: Dataset, vault: Vault) -> dict[str, DataFrame]:
+def recovered(plan: Plan | Completed, dataset: Dataset, vault: Vault) -> dict[str, DataFrame]:
     tables, fields = ids_of(plan)
     offset = vault.read("temporal_parameters").first()
     text, numbers, memos = (vault.read(n) for n in ("text_mappings", "numeric_key_mappings", "memo_recovery"))
-    small = text.count() <= BROADCAST_PAIRS and numbers.count() <= BROADCAST_PAIRS
+    small = transform.fits_broadcast(text, numbers)
     out = {}
     for t in dataset:
         df = transform.rewrite(t, plan.of(t.path), text, numbers, offset["offset_days"] if offset else None, small, back=True)

@@ -10,6 +10,7 @@ from .policy import digest, unique_json
 from .relations import Relation, parse_document, relative_path
 
 VERSION, MOST_CLAIMS = "1.0", 256
+#: The keys and words of the interchange format.
 AUTHORITIES, ASSURANCES = {"CONTRACT_AUTHORITATIVE", "INFERRED"}, {"VERIFIED", "UNVERIFIED"}
 OUTSIDE = "EXTERNAL_VFP_METADATA"
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:+-]{0,127}")

@@ -9,6 +9,7 @@ import json
 from .errors import EngineError
 from .schema import KEEP, MASKED, PSEUDONYMIZE, SHIFT
 
+#: Sections, settings and defaults of the policy format.
 DEFAULT_POLICY = {
     "schema_version": 1,
     "profile": "SAFE_TRANSFER",

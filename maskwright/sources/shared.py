@@ -83,6 +83,15 @@ class Files:
         fs, p = self.path(path)
         fs.delete(p, True)
 
+    def free(self, path: str) -> int | None:
+        """Bytes left on the file system of a path; None where it doesn't say."""
+        fs, _ = self.path(path)
+        try:
+            left = fs.getStatus().getRemaining()
+        except Exception:
+            return None
+        return None if left <= 0 or left >= (1 << 62) else left
+
     def list(self, path: str) -> list[tuple[str, int]]:
         """(path relative to the folder, size) of each file below it, hidden ones included, in order."""
         fs, p = self.path(path)

@@ -1,14 +1,14 @@
 """The vault: mapping and recovery tables as immutable versions, under a log of commits.
 
-A commit is a numbered JSON file that is created only if absent, so that of two writers one fails. It names the
-version of every table, so a reader sees one commit whatever is written meanwhile.
+A commit is a numbered JSON file that is created only if absent, so that of two writers one fails; stores without an atomic create need a
+file system layer that has one. It names the version of every table, so a reader sees one commit whatever is written meanwhile.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,10 +85,17 @@ class Vault:
             state["tables"][name] = at
         try:
             self.files.write(f"{self.root}/commits/{state['number']:08d}.json", canonical_json(state))
-        except Exception as e:  # the file is there: another writer came first
-            raise EngineError("VAULT_WRITER_CONFLICT") from e
+        except Exception as e:
+            raise self.failure(f"{self.root}/commits/{state['number']:08d}.json") from e
         self.state = state
 
+    def failure(self, path: str) -> EngineError:
+        """Why a file could not be created: it is there, so another writer came first, or the store refused."""
+        try:
+            return EngineError("VAULT_WRITER_CONFLICT") if self.files.exists(path) else EngineError("VAULT_ACCESS_DENIED")
+        except Exception:
+            return EngineError("VAULT_UNAVAILABLE")
+
     def fingerprint(self) -> str:
         """Of what mappings say, whatever files they lie in."""
         parts = []
@@ -103,18 +110,39 @@ class Vault:
 
 
 class Lease:
-    """One writer at a time: a file that is created only if absent."""
+    """One writer at a time: a file that is created only if absent. One older than HOURS was left by a crash and is taken over."""
+
+    HOURS = 24
 
     def __init__(self, vault: Vault):
-        self.vault, self.path = vault, f"{vault.root}/lease.json"
+        self.vault, self.path, self.owner = vault, f"{vault.root}/lease.json", uuid.uuid4().hex
 
     def __enter__(self) -> Vault:
+        mine = canonical_json({"owner": self.owner, "since": now()})
         try:
-            self.vault.files.write(self.path, canonical_json({"owner": uuid.uuid4().hex, "since": now()}))
+            self.vault.files.write(self.path, mine)
         except Exception as e:
-            raise EngineError("VAULT_WRITER_CONFLICT") from e
+            if not self.expired():
+                raise self.vault.failure(self.path) from e
+            self.vault.files.write(self.path, mine, overwrite=True)
+            if self.holder() != self.owner:  # another one took it over in between
+                raise EngineError("VAULT_WRITER_CONFLICT") from e
         self.vault.state = self.vault._last()
         return self.vault
 
+    def read(self) -> dict:
+        try:
+            return json.loads(self.vault.files.read(self.path))
+        except Exception:
+            return {}
+
+    def holder(self) -> str | None:
+        return self.read().get("owner")
+
+    def expired(self) -> bool:
+        since = self.read().get("since")
+        return since is not None and datetime.now(timezone.utc) - datetime.fromisoformat(since) > timedelta(hours=self.HOURS)
+
     def __exit__(self, *_) -> None:
-        self.vault.files.delete(self.path)
+        if self.holder() == self.owner:
+            self.vault.files.delete(self.path)

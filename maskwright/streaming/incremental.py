@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tokens import candidate_alphabet
 from ..operators import allocate, observe, transform
 from ..operators.transform import FieldPlan
 from ..plans.relations import TEXT_DOMAIN
@@ -22,10 +23,13 @@ def rewrite_batch(df: DataFrame, plans: list[FieldPlan], vault: Vault, offset: i
     known = vault.read("text_mappings").select(F.col("original_value").alias("value"), F.col("pseudonym_value").alias("token"))
     fresh = seen.join(known.select("value"), "value", "left_anti")
     if not fresh.isEmpty():
-        made = allocate.allocate_text(seen, known).join(known.select("value"), "value", "left_anti")
+        alphabet = candidate_alphabet(sorted({p.fact.encoding for p in plans if p.fact.name in chosen}))
+        made = allocate.allocate_text(seen, known, alphabet).join(known.select("value"), "value", "left_anti")
         rows = made.select(F.lit(TEXT_DOMAIN).alias("domain_id"), F.col("value").alias("original_value"), F.col("token").alias("pseudonym_value"), F.octet_length("token").alias("logical_byte_length"))
-        vault.commit({"text_mappings": vault.read("text_mappings").unionByName(rows)})
-    return transform.rewrite(table, plans, vault.read("text_mappings"), vault.read("numeric_key_mappings"), offset, False)
+        with vault.lease():
+            vault.commit({"text_mappings": vault.read("text_mappings").unionByName(rows)})
+    text, numbers = vault.read("text_mappings"), vault.read("numeric_key_mappings")
+    return transform.rewrite(table, plans, text, numbers, offset, transform.fits_broadcast(text, numbers))
 
 
 def pseudonymize_stream(stream: DataFrame, plans: list[FieldPlan], vault_path: str, output: str, checkpoint: str, offset: int | None = None) -> StreamingQuery:
