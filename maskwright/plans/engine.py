@@ -218,9 +218,9 @@ def preflight(spark: SparkSession, plan: Plan, *, progress: Callback = None, can
         needed = capacity.storage_estimate([n for _, n in inventory(spark, plan.source)], vault=True)
         free = files.free(plan.output)
         if free is not None and free < needed:
-            errors.append("STORAGE_INSUFFICIENT")
+            errors.append("STORAGE_SPACE_INSUFFICIENT")
         elif free is None:
-            warnings.append("STORAGE_UNKNOWN")
+            warnings.append("STORAGE_ESTIMATE_UNAVAILABLE")
     if plan.identity_review:
         warnings.append("IDENTITY_REVIEW_RECOMMENDED")
     checks = ["PREFLIGHT_EVALUATED"] + (["DATA_ONLY_STANDALONE"] if plan.policy["indexes"]["profile"] == "DATA_ONLY" else [])

@@ -7,6 +7,7 @@ pseudonyms are never returned, only what must hold for any of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import tokens, values
 from ..operators import allocate, capacity, evidence, observe, ranks, transform, verify
 from ..operators.transform import FieldPlan
-from ..sources.dataset import positioned
-from ..sources.shared import materialize
-from . import schema
+from ..sources.dataset import artifact_hashes, positioned, table_of_artifact
+from ..sources.shared import Files, materialize, shared_dir
+from . import engine, schema
 from .policy import resolve_policy
 from .relations import TEXT_DOMAIN
 from .schema import DELETED, INDEX, KEEP, MASKED, PSEUDONYMIZE, SHIFT, Dataset, FieldFact, Table, classify_field
@@ -303,7 +304,7 @@ def protected(spark, sf_dir) -> dict:
     text = materialize(pairs.select(F.col("value").alias("original_value"), F.col("token").alias("pseudonym_value")), "text")
     field_ids = {n: {p.fact.name: f"{n}.{p.fact.name}" for p in plans[n]} for n in plans}
     memos = materialize(transform.memo_rows(tables["customer"], "customer", plans["customer"], field_ids["customer"]), "memos")
-    after = {n: t.with_df(materialize(transform.rewrite(t, plans[n], text, numbers, 366, True), n)) for n, t in tables.items()}
+    after = {n: t.with_df(materialize(transform.rewrite(t, plans[n], text, numbers, 366, transform.fits_broadcast(text, numbers)), n)) for n, t in tables.items()}
     return {"before": tables, "after": after, "plans": plans, "text": text, "numbers": numbers, "memos": memos, "ids": field_ids}
 
 
@@ -341,7 +342,7 @@ def pseudonymize_no_survivor(spark, sf_dir):
 
 
 def back(p: dict, name: str) -> DataFrame:
-    df = transform.rewrite(p["after"][name], p["plans"][name], p["text"], p["numbers"], 366, True, back=True)
+    df = transform.rewrite(p["after"][name], p["plans"][name], p["text"], p["numbers"], 366, transform.fits_broadcast(p["text"], p["numbers"]), back=True)
     return transform.with_memos(p["before"][name], df, name, p["plans"][name], p["ids"][name], p["memos"])
 
 
@@ -356,9 +357,9 @@ def recover_roundtrip_orders(spark, sf_dir):
 
 
 def findings(spark, p: dict, after: dict) -> DataFrame:
-    parts = []
+    parts, small = [], transform.fits_broadcast(p["text"], p["numbers"])
     for n, t in p["before"].items():
-        parts.append(verify.table_findings(t, after[n], p["plans"][n], p["text"], p["numbers"], p["memos"], 366, p["ids"][n], True))
+        parts.append(verify.table_findings(t, after[n], p["plans"][n], p["text"], p["numbers"], p["memos"], 366, p["ids"][n], small))
         parts.append(verify.order_findings(after[n]))
     return verify.findings_union(parts, spark)
 
@@ -370,18 +371,26 @@ def verify_findings_clean(spark, sf_dir):
     return spark.createDataFrame([(verify.verdict(codes), len(codes))], "status string, findings bigint")
 
 
-@query(f"""SELECT 'customer' AS table_path, 'MEMO_PAYLOAD_MISMATCH' AS code, count(*) AS records FROM customer
-UNION ALL SELECT 'orders', 'DELETED_MARKER_MISMATCH', count(*) FROM orders UNION ALL SELECT 'orders', 'IDENTITY_VALUE_MISMATCH', count(*) FROM orders
-UNION ALL SELECT 'orders', 'NULL_SEMANTICS_MISMATCH', count({FOREIGN_KEY}) FROM orders UNION ALL SELECT 'orders', 'TEMPORAL_VALUE_MISMATCH', count(*) FROM orders
-UNION ALL SELECT 'orders', 'TEXT_MAPPING_MISMATCH', count(*) FROM orders UNION ALL SELECT 'orders', 'ORIGINAL_VALUE_SURVIVED', count(*) FROM orders""")
+TAMPERED = (2, 3, 5, 7, 17)
+
+
+@query(f"""SELECT 'customer' AS table_path, 'MEMO_PAYLOAD_MISMATCH' AS code, count(*) AS records FROM customer WHERE c_nationkey % 2 = 0
+UNION ALL SELECT 'orders', 'DELETED_MARKER_MISMATCH', count(*) FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'orders', 'IDENTITY_VALUE_MISMATCH', count(*) FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'orders', 'NULL_SEMANTICS_MISMATCH', count({FOREIGN_KEY}) FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'orders', 'TEMPORAL_VALUE_MISMATCH', count(*) FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'orders', 'TEXT_MAPPING_MISMATCH', count(*) FROM orders WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'orders', 'ORIGINAL_VALUE_SURVIVED', count(*) FROM orders WHERE o_orderkey % 17 = 0""")
 def verify_findings_tampered(spark, sf_dir):
-    """Every rule that these tables can break is broken in all their records."""
+    """Every rule that these tables can break is broken in some of their records, each in others."""
     p = protected(spark, sf_dir)
     original = p["before"]["orders"].df.select(INDEX, F.col("o_orderstatus").alias("was"))
-    orders = p["after"]["orders"].df.withColumn(DELETED, ~F.col(DELETED)).withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    orders = orders.withColumn("o_custkey", F.lit(None).cast("bigint")).withColumn("o_orderdate", F.col("o_orderdate") + F.make_dt_interval(F.lit(1)))
-    orders = orders.join(original, INDEX).withColumn("o_orderstatus", F.col("was")).drop("was")
-    customer = p["after"]["customer"].df.withColumn("c_name", F.lit("x"))
+    orders = p["after"]["orders"].df.join(original, INDEX)
+    change = lambda name, n, new: F.when(F.col("o_orderkey") % n == 0, new).otherwise(F.col(name)).alias(name)
+    changed = {
+        DELETED: change(DELETED, TAMPERED[0], ~F.col(DELETED)), "o_totalprice": change("o_totalprice", TAMPERED[1], F.col("o_totalprice") + 1),
+        "o_custkey": change("o_custkey", TAMPERED[2], F.lit(None)), "o_orderdate": change("o_orderdate", TAMPERED[3], F.col("o_orderdate") + F.make_dt_interval(F.lit(1))),
+        "o_orderstatus": change("o_orderstatus", TAMPERED[4], F.col("was")),
+    }
+    orders = orders.select(*(changed.get(c, F.col(c)) for c in p["after"]["orders"].df.columns))
+    customer = p["after"]["customer"].df.withColumn("c_name", F.when(F.col("c_nationkey") % 2 == 0, "x").otherwise(F.col("c_name")))
     after = {"orders": p["after"]["orders"].with_df(orders), "customer": p["after"]["customer"].with_df(customer)}
     return findings(spark, p, after)
 
@@ -393,7 +402,7 @@ def lockstep_difference(spark, sf_dir):
     return verify.lockstep(a, b).agg(F.count_if(F.expr("a is null or b is null")).alias("record_count_mismatch"), F.count("*").alias("positions"))
 
 
-EVERY = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+EVERY = ("benchmark", "conversations", "customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 LEDGER_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS relative_path, column_name AS name, CASE WHEN column_type = 'VARCHAR' THEN 'PSEUDONYMIZE_REVERSIBLE' WHEN column_type LIKE 'TIMESTAMP%' THEN 'SHIFT_REVERSIBLE' ELSE 'KEEP' END AS transform_action FROM (DESCRIBE {t})"
     for t in EVERY
@@ -417,12 +426,15 @@ def ledger_completeness(spark, sf_dir):
     return verify.ledger_difference(want, have)
 
 
-@query("""SELECT path, 'TABLE_MISSING' AS code FROM ((SELECT DISTINCT url AS path FROM pages WHERE page_id % 3 > 0) EXCEPT (SELECT DISTINCT url FROM pages WHERE page_id % 4 > 0))
-UNION ALL SELECT path, 'UNEXPECTED_OUTPUT_ARTIFACT' FROM ((SELECT DISTINCT url AS path FROM pages WHERE page_id % 4 > 0) EXCEPT (SELECT DISTINCT url FROM pages WHERE page_id % 3 > 0))""")
+RENAMED = "replace({0}, '/en/', '/english/')"
+
+
+@query(f"""WITH want AS (SELECT DISTINCT url AS path FROM pages WHERE url IS NOT NULL), have AS (SELECT DISTINCT {RENAMED.format('url')} AS path FROM pages WHERE url IS NOT NULL)
+SELECT path, 'TABLE_MISSING' AS code FROM (FROM want EXCEPT FROM have) UNION ALL SELECT path, 'UNEXPECTED_OUTPUT_ARTIFACT' FROM (FROM have EXCEPT FROM want)""")
 def inventory_difference(spark, sf_dir):
-    """Two inventories that overlap: each lacks some of the other's paths."""
-    pages = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id")
-    return verify.inventory_difference(pages.filter("page_id % 3 > 0"), pages.filter("page_id % 4 > 0"))
+    """Two inventories of all pages; in one of them some paths are renamed."""
+    pages = read(spark, sf_dir, "pages").select(F.col("url").alias("path")).filter("path is not null")
+    return verify.inventory_difference(pages, pages.select(F.expr(RENAMED.format("path")).alias("path")))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_path, count(*) AS records, {'count(*) FILTER (o_orderkey % 13 = 0)' if t == 'orders' else '0'}::BIGINT AS deleted FROM {t}" for t in EVERY))
@@ -433,3 +445,145 @@ def record_counters(spark, sf_dir):
         df = df.withColumn(DELETED, F.expr("o_orderkey % 13 = 0")) if t == "orders" else df
         parts.append(df.agg(F.lit(t).alias("table_path"), F.count("*").alias("records"), F.count_if(DELETED).alias("deleted")))
     return observe.stacked(parts, spark, "table_path string, records bigint, deleted bigint")
+
+
+NO_PAIRS = "value string, token string"
+#: A domain as tight as can be: so many letters, each the text of its own field, and each wants a token of one character.
+LETTERS = "ABCDEFG"
+
+
+@query("SELECT count(DISTINCT n_nationkey % 7) AS pairs, 0::BIGINT AS self_assigned, 0::BIGINT AS beyond_alphabet, 0::BIGINT AS too_long, true AS bijective FROM nation")
+def text_mapping_tight(spark, sf_dir):
+    """As many texts as tokens of one character in a narrowed alphabet, all of them tokens themselves: only a derangement will do."""
+    observed = read(spark, sf_dir, "nation").select(F.expr(f"substring('{LETTERS}', n_nationkey % {len(LETTERS)} + 1, 1)").alias("value"), F.lit(1).alias("min_width")).distinct()
+    return mapping_facts(observed, allocate.allocate_text(observed, spark.createDataFrame([], NO_PAIRS), LETTERS), LETTERS)
+
+
+@query("SELECT (SELECT count(DISTINCT n_nationkey % 7) FROM nation) + (SELECT count(DISTINCT c_name) FROM customer) AS pairs, 0::BIGINT AS self_assigned, 0::BIGINT AS beyond_alphabet, 0::BIGINT AS too_long, true AS bijective")
+def text_mapping_tight_and_wide(spark, sf_dir):
+    """The same beside wider texts: their tokens come after the tight part and stay in the alphabet."""
+    tight = read(spark, sf_dir, "nation").select(F.expr(f"substring('{LETTERS}', n_nationkey % {len(LETTERS)} + 1, 1)").alias("value"), F.lit(1).alias("min_width")).distinct()
+    observed = materialize(tight.unionByName(read(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), F.lit(25).alias("min_width")).distinct()), "observed")
+    return mapping_facts(observed, allocate.allocate_text(observed, spark.createDataFrame([], NO_PAIRS), LETTERS), LETTERS)
+
+
+def mapping_facts(observed: DataFrame, mapped: DataFrame, alphabet: str) -> DataFrame:
+    mapped = materialize(mapped, "mapping")
+    whole = observed.join(mapped, "value", "left")
+    odd = whole.agg(
+        F.count("*").alias("pairs"), F.count_if(F.expr("value = token")).alias("self_assigned"), F.count_if(~F.col("token").rlike(f"^[{alphabet}]+$")).alias("beyond_alphabet"),
+        F.count_if(F.expr("token is null or length(token) > min_width")).alias("too_long"),
+    )
+    return odd.withColumn("bijective", F.lit(allocate.check_bijection(mapped).first()["bijective"]))
+
+
+@query("SELECT count(DISTINCT c_name) AS pairs, count(DISTINCT c_name) FILTER (c_custkey % 2 = 0) AS reused, true AS bijective FROM customer")
+def text_mapping_persisted(spark, sf_dir):
+    """Half of the texts have their tokens from an earlier run: these stay, the others get new ones beside them."""
+    names = read(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), F.lit(25).alias("min_width"), "c_custkey")
+    first = materialize(allocate.allocate_text(names.filter("c_custkey % 2 = 0").select("value", "min_width").distinct(), spark.createDataFrame([], NO_PAIRS)), "first")
+    second = materialize(allocate.allocate_text(names.select("value", "min_width").distinct(), first), "second")
+    reused = second.join(first, ["value", "token"]).count()
+    return allocate.check_bijection(second).select("pairs", F.lit(reused).cast("bigint").alias("reused"), "bijective")
+
+
+@query("SELECT count(DISTINCT c_custkey) AS pairs, 0::BIGINT AS self_assigned, 0::BIGINT AS out_of_range, true AS bijective FROM customer")
+def numeric_mapping_tight(spark, sf_dir):
+    """A range that holds the keys and nothing else: every number is taken, none by itself."""
+    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("value")).distinct()
+    low, high = read(spark, sf_dir, "customer").agg(F.min("c_custkey"), F.min("c_custkey") + F.countDistinct("c_custkey") - 1).first()
+    mapped = materialize(allocate.allocate_numeric(keys, spark.createDataFrame([], NO_PAIRS), low, high), "mapping")
+    odd = mapped.agg(F.count("*").alias("pairs"), F.count_if(F.expr("value = token")).alias("self_assigned"), F.count_if(~F.col("token").cast("bigint").between(low, high)).alias("out_of_range"))
+    return odd.withColumn("bijective", F.lit(allocate.check_bijection(mapped).first()["bijective"]))
+
+
+# whole runs through the public operations
+
+#: Tables of a run; customer names are its long texts.
+RUN = ("customer", "nation", "orders", "region")
+RUNS: dict[tuple[str, str], dict] = {}
+KEYS = [("customer-key", ("customer", "c_custkey"), ("orders", "o_custkey"))]
+
+
+def key_member(at: tuple[str, str], role: str) -> dict:
+    return {"table": f"{at[0]}.parquet", "field": at[1], "role": role, "ordinal": 1, "dbf_type": "N", "byte_width": 18}
+
+
+def engine_run(spark: SparkSession, sf_dir: str, fresh: bool = False) -> dict:
+    """Plan, preflight and run over copies of the tables, once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in RUNS and not fresh:
+        return RUNS[key]
+    root = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
+    for t in RUN:
+        read(spark, sf_dir, t).write.parquet(f"{root}/source/{t}.parquet")
+    facts = {f"{t}.parquet": {c: FieldFact(c, "M" if c == "c_name" else "C", w) for c, w in WIDTHS[t].items()} for t in RUN}
+    relations = [{"relation_id": n, "numeric_strategy": "REVERSIBLE_BIJECTIVE", "members": [key_member(p, "PRIMARY"), key_member(f, "FOREIGN")]} for n, p, f in KEYS]
+    plan = engine.build_plan(spark, f"{root}/source", f"{root}/output", f"{root}/vault", None, {"metadata_schema_version": "1.0", "relations": relations}, facts)
+    found = {"root": root, "plan": plan, "preflight": engine.preflight(spark, plan), "receipt": engine.pseudonymize(spark, plan)}
+    if not fresh:
+        RUNS[key] = found
+    return found
+
+
+COUNTS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS table_path, count(*) AS records FROM {t}" for t in RUN)
+
+
+@query(f"SELECT table_path, records, 'DECLARED_RELATIONS_VERIFIED' AS assurance, true AS ready FROM ({COUNTS})")
+def engine_run_receipt(spark, sf_dir):
+    """What a completed run says: records of each table, assurance, and that preflight found nothing against it."""
+    run = engine_run(spark, sf_dir)
+    rows = [(t, n, run["receipt"]["assurance"]["level"], run["preflight"].ready) for t, n in run["receipt"]["tables"].items()]
+    return spark.createDataFrame(rows, "table_path string, records bigint, assurance string, ready boolean")
+
+
+@query("SELECT 'PASS' AS status, 0::BIGINT AS codes")
+def engine_verify_pass(spark, sf_dir):
+    found = engine.verify_dataset(spark, engine_run(spark, sf_dir)["plan"])
+    return spark.createDataFrame([(found["status"], len(found["codes"]))], "status string, codes bigint")
+
+
+@query("""SELECT 'IDENTITY_VALUE_MISMATCH' AS code, count(*) AS records FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'DELETED_MARKER_MISMATCH', count(*) FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'OUTPUT_FINGERPRINT_MISMATCH', NULL""")
+def engine_verify_codes(spark, sf_dir):
+    """An output of which some records were changed: the codes of its verification, with how many records break each rule."""
+    run = engine_run(spark, sf_dir, fresh=True)
+    path = f"{run['plan'].output}/orders.parquet"
+    good = spark.read.parquet(path)
+    changed = good.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    changed = materialize(changed.withColumn(DELETED, F.when(F.col("o_orderkey") % 4 == 0, ~F.col(DELETED)).otherwise(F.col(DELETED))), "changed")
+    Files(spark).delete(path)
+    changed.orderBy(INDEX).write.parquet(path)
+    found = engine.verify_dataset(spark, run["plan"])
+    counted = {r["code"]: r["records"] for r in found["findings"]}
+    return spark.createDataFrame([(c, counted.get(c)) for c in found["codes"]], "code string, records bigint")
+
+
+@query(f"SELECT table_path, records, 0::BIGINT AS lost, 0::BIGINT AS changed FROM ({COUNTS})")
+def engine_recover_roundtrip(spark, sf_dir):
+    """Originals from output and vault alone: rows that are missing or differ from what went in."""
+    run, back = engine_run(spark, sf_dir), f"{shared_dir(spark)}/back-{uuid.uuid4().hex}"
+    engine.recover_output(spark, run["plan"].output, run["plan"].vault, back)
+    rows = []
+    for t in RUN:
+        was = read(spark, sf_dir, t)
+        now = spark.read.parquet(f"{back}/{t}.parquet").select(was.columns)
+        rows.append((f"{t}.parquet", now.count(), was.exceptAll(now).count(), now.exceptAll(was).count()))
+    return spark.createDataFrame(rows, "table_path string, records bigint, lost bigint, changed bigint")
+
+
+@query(f"SELECT table_path, records, 0::BIGINT AS deleted, 'PASS' AS status FROM ({COUNTS})")
+def engine_bundle_manifest(spark, sf_dir):
+    """The manifest of a bundle, and whether the bundle agrees with it."""
+    run, bundle = engine_run(spark, sf_dir), f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    manifest = engine.create_bundle(spark, run["plan"], bundle)
+    status = engine.verify_bundle(spark, bundle)["status"]
+    return spark.createDataFrame([(t["path"], t["records"], t["deleted"], status) for t in manifest["tables"]], "table_path string, records bigint, deleted bigint, status string")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS table_path, 'PARQUET' AS type, true AS hashed" for t in RUN))
+def source_fingerprint_entries(spark, sf_dir):
+    """What the fingerprint of a source is made of, by table."""
+    found = artifact_hashes(spark, engine_run(spark, sf_dir)["plan"].source)
+    rows = {(table_of_artifact(r["path"]), r["type"], len(r["sha256"]) == 64) for r in found.collect()}
+    return spark.createDataFrame(sorted(rows), "table_path string, type string, hashed boolean")

@@ -13,18 +13,19 @@ from ..plans.policy import canonical_json, digest
 from ..plans.schema import DELETED, INDEX, Dataset, FieldFact, Table, read_facts, with_facts
 from .shared import Files
 
-SUFFIX = ".parquet"
+SUFFIX, DBF, MEMO = ".parquet", ".dbf", ".fpt"
 
 
 def table_of_artifact(path: str) -> str | None:
-    """The table that a file belongs to: the path up to its first .parquet segment; hidden files belong to none."""
+    """The table that a file belongs to: the path up to its first .parquet segment, a .dbf file, or that of a .fpt file; hidden files belong to none."""
     parts = path.split("/")
     for k, part in enumerate(parts):
         if part.startswith((".", "_")):
             return None
         if part.endswith(SUFFIX):
             return "/".join(parts[: k + 1])
-    return None
+    low = path.casefold()
+    return path if low.endswith(DBF) else f"{path[: -len(MEMO)]}{DBF}" if low.endswith(MEMO) else None
 
 
 def inventory(spark: SparkSession, root: str) -> list[tuple[str, int]]:
@@ -36,7 +37,11 @@ def inventory(spark: SparkSession, root: str) -> list[tuple[str, int]]:
 
 
 def discover_tables(spark: SparkSession, root: str) -> list[str]:
-    return sorted({table_of_artifact(p) for p, _ in inventory(spark, root)})
+    found = {table_of_artifact(p) for p, _ in inventory(spark, root)}
+    folded = {t.casefold() for t in found}
+    if len(folded) < len(found):
+        raise EngineError("PATH_INVALID", "AMBIGUOUS_TABLE_NAMES")
+    return sorted(found)
 
 
 def artifact_hashes(spark: SparkSession, root: str) -> DataFrame:
@@ -88,7 +93,13 @@ def positioned(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, path: str, facts: dict[str, FieldFact] | None = None) -> Table:
-    df = spark.read.parquet(f"{root}/{path}")
+    if path.casefold().endswith(DBF):
+        from .dbf import register
+
+        register(spark)
+        df = spark.read.format("dbf").load(f"{root}/{path}")
+    else:
+        df = spark.read.parquet(f"{root}/{path}")
     found = read_facts(df.schema, facts)
     return Table(path, with_facts(positioned(df), found), found)
 
@@ -100,4 +111,9 @@ def read_dataset(spark: SparkSession, root: str, facts: dict[str, dict[str, Fiel
 
 def write_table(df: DataFrame, facts: tuple[FieldFact, ...], path: str) -> None:
     """A fresh table in record order, its facts in the schema; an existing one is an error."""
+    if path.casefold().endswith(DBF):
+        from .dbf import write_dbf
+
+        write_dbf(df, facts, path)
+        return
     with_facts(df, facts).orderBy(INDEX).write.mode("errorifexists").parquet(path)

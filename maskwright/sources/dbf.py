@@ -1,7 +1,7 @@
 """dBASE/FoxPro tables as a Spark data source: `spark.read.format("dbf").load(folder)` and `df.write.format("dbf")`.
 
 Records have a fixed length, so a table is read in parallel by record ranges. Deleted records are rows with
-`_deleted` set; `_physical_index` is a record's place. Long fields are read from the companion .fpt file. Tables are
+`_deleted` set; `_physical_index` is a record's place. Paths are of a file system that is mounted on the driver and all executors. Long fields are read from the companion .fpt file. Tables are
 written by one task each, since record order is their identity; the rows must be in the order to be written.
 """
 
@@ -170,6 +170,8 @@ class DbfReader(DataSourceReader):
                     if fact.dbf_type in "MGP":
                         number = struct.unpack("<i", cell)[0] if fact.width == 4 else int(cell.strip() or 0)
                         found = read_memo(memos, block, number, fact.encoding)
+                        if found and fact.dbf_type == "M" and found[0] != "TEXT":
+                            raise ValueError("MEMO_PAYLOAD_BINARY")  # of a text field; never decoded as if it were text
                         row.append(None if found is None else found[1].decode(fact.encoding) if fact.dbf_type == "M" else found[1])
                     else:
                         row.append(read_value(cell, fact))

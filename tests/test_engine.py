@@ -298,3 +298,79 @@ def test_tampering_is_found(spark, run):
         Files(spark).delete(path)
         Files(spark).rename(f"{run['root']}/orders-good.parquet", path)
     assert found["status"] == "FAIL" and set(found["codes"]) >= {"OUTPUT_FINGERPRINT_MISMATCH", "RECORD_COUNT_MISMATCH", "IDENTITY_VALUE_MISMATCH", "ASSURANCE_EVIDENCE_MISMATCH"}
+
+
+def test_recovery_in_a_new_process_without_source_or_plan(spark, run):
+    from maskwright import cli
+
+    Files(spark).rename(f"{run['root']}/src", f"{run['root']}/src-away")
+    try:
+        assert cli.main(["recover", f"{run['root']}/out", f"{run['root']}/vault", f"{run['root']}/again", "--json"], spark) == 0
+        was = spark.read.parquet(f"{run['root']}/src-away/orders.parquet")
+        assert was.exceptAll(spark.read.parquet(f"{run['root']}/again/orders.parquet").select(was.columns)).isEmpty()
+        assert code(engine.recover_output, spark, f"{run['root']}/elsewhere", f"{run['root']}/vault", f"{run['root']}/x") == "RECOVERY_FAILED"
+    finally:
+        Files(spark).rename(f"{run['root']}/src-away", f"{run['root']}/src")
+
+
+def test_a_crash_before_the_receipt_is_settled_by_the_next_run(spark, run):
+    plan = run["plan"]
+    vault = Vault.open(spark, plan.vault)
+    done = vault.state["operations"][plan.operation_id]
+    vault.commit(
+        operations={**vault.state["operations"], plan.operation_id: {k: v for k, v in done.items() if k not in ("receipt", "completed_at")} | {"state": "STARTED"}},
+        publication=[p for p in vault.state["publication"] if p["phase"] == "READY_TO_PROMOTE"],
+    )
+    assert engine.pseudonymize(spark, plan) == run["receipt"]
+
+
+def test_a_stale_lease_is_taken_over(spark, run):
+    vault = Vault.open(spark, run["plan"].vault)
+    Files(spark).write(f"{vault.root}/lease.json", b'{"owner": "gone", "since": "2020-01-01T00:00:00+00:00"}')
+    with vault.lease():
+        assert code(vault.lease().__enter__) == "VAULT_WRITER_CONFLICT"
+    assert not Files(spark).exists(f"{vault.root}/lease.json")
+
+
+def test_tight_domains_keep_their_alphabet_at_any_size(spark, monkeypatch):
+    random.seed(5)
+    rows = [(a + b, 2) for a in "ABC" for b in "ABC"] + [(c, 1) for c in "ABC"] + [(f"name {k}", 9) for k in range(30)]
+    observed = spark.createDataFrame(rows, "value string, min_width int")
+    for bound in (200_000, 0):
+        monkeypatch.setattr(allocate, "TIGHT", bound)
+        found = {r["value"]: r["token"] for r in allocate.allocate_text(observed, spark.createDataFrame([], PAIRS), "ABC").collect()}
+        assert len(found) == len(set(found.values())) == len(rows)
+        assert all(set(t) <= set("ABC") and t != v and len(t) <= dict(rows)[v] for v, t in found.items())
+
+
+def test_many_fixed_points_are_passed_on(spark):
+    pairs = spark.createDataFrame([(str(k), str(k)) for k in range(1500)] + [("9999", "5000")], PAIRS)
+    found = {r["value"]: r["token"] for r in allocate.without_fixed_points(pairs, spark.createDataFrame([], "token string"), 0, 9999).collect()}
+    assert len(found) == len(set(found.values())) == 1501 and all(v != t for v, t in found.items())
+    lone = allocate.without_fixed_points(spark.createDataFrame([("3", "3")], PAIRS), spark.createDataFrame([("1",)], "token string"), 1, 3).collect()
+    assert [tuple(r) for r in lone] == [("3", "2")]
+
+
+def test_fractions_are_no_keys(spark):
+    rows = spark.createDataFrame([(1.5,), (2.0,), (None,)], "v double")
+    assert [r[0] for r in rows.select(values.member_verdict(F.col("v"), "N", 5)).collect()] == ["OUT_OF_MEMBER_RANGE", "REVERSIBLE", None]
+    with pytest.raises(Exception, match="NUMERIC_KEY_NOT_INTEGRAL"):
+        rows.select(values.canonical_text(F.col("v"))).collect()
+
+
+def test_a_folder_of_dbf_tables_goes_through_the_engine(spark, tmp_path):
+    from maskwright.sources.dbf import write_dbf
+
+    root = f"{tmp_path}/dbf"
+    facts = (FieldFact("ID", "I", 4, 0, "none", False), FieldFact("NAME", "C", 12, 0, "cp1252"), FieldFact("NOTE", "M", 4, 0, "cp1252"))
+    rows = [(i, f"name {i % 4}", f"note {i}" if i % 3 else None, i, i % 5 == 0) for i in range(30)]
+    write_dbf(spark.createDataFrame(rows, "ID int, NAME string, NOTE string, _physical_index long, _deleted boolean"), facts, f"{root}/in/sub/people.dbf")
+    plan = engine.build_plan(spark, f"{root}/in", f"{root}/out", f"{root}/vault")
+    assert list(plan.facts) == ["sub/people.dbf"] and {f.fact.name: f.action for f in plan.fields} == {"ID": "KEEP", "NAME": "PSEUDONYMIZE_REVERSIBLE", "NOTE": "MASK_REVERSIBLE"}
+    engine.pseudonymize(spark, plan)
+    assert engine.verify_dataset(spark, plan)["status"] == "PASS"
+    engine.recover_output(spark, f"{root}/out", f"{root}/vault", f"{root}/back")
+    back = spark.read.format("dbf").load(f"{root}/back/sub/people.dbf").orderBy("_physical_index").collect()
+    assert [tuple(r) for r in back] == rows
+    out = spark.read.format("dbf").load(f"{root}/out/sub/people.dbf").collect()
+    assert not {r["NAME"] for r in out} & {r[1] for r in rows} and {r["NOTE"] for r in out} == {None, "[MASKED-MEMO]"} and sum(r["_deleted"] for r in out) == 6
