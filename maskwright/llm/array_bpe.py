@@ -186,7 +186,7 @@ class Bounded(dict):
 
     def missing(self, keys: Iterable) -> set:
         """Of keys those that neither generation holds; all others are in the young one afterwards."""
-        fresh = set(keys).difference(self)
+        fresh = {k for k in set(keys) if k not in self}  # difference() would go through the whole cache
         if self.old:
             met = [k for k in fresh if k in self.old]
             self.update(zip(met, map(self.old.__getitem__, met), strict=True))
