@@ -59,3 +59,13 @@ def test_bounds_empty_tables_and_rows_without_an_id(spark):
     assert drop_similar(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (2, "a b")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in drop_similar(rows).collect()) == ["1", "None", "None"]
+
+
+def test_group_whose_copies_are_like_their_origin_only(spark):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [edited(words, 4, rng) for _ in range(90)] + [" ".join(words)] + [edited(words, 4, rng) for _ in range(90)]
+    expected = plain_groups(texts)
+    sets = [plain_shingles(t) for t in texts]
+    assert sum(len(sets[0] & s) < 0.8 * len(sets[0] | s) for s in sets) > 100 and len(expected) == 180
+    assert {r["id"]: r["component_id"] for r in near_copy_groups(docs(spark, texts)).collect()} == expected
