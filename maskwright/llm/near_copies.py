@@ -1,14 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles: a set similarity join with prefix, position and sketch filters, all lossless.
+"""Near copies: fingerprints in a byte-position inverted index with count filtering, then an exact check and an exact join for what lies beyond 3 bits.
 
-Two texts are near copies if at least four fifths of their distinct five-word shingles are shared. Under any one order of
-all shingles such a pair shares one within the first fifth of each, so only those prefixes are indexed, as 64-bit
-hashes; no pair is lost. The order is by hash with shingles of many postings last; it decides the cost, never
-the result. Candidates are verified on the shingles themselves. First each member meets one hub,
-the document of its postings whose prefix is shared most, which is the text that the others were copied from where there is one; then only members that
-are still in different groups are paired, so a large group of copies is not paired with itself.
+Two texts are near copies if at least four fifths of their distinct five-word shingles are shared. The method is that of the fingerprint operator and runs
+first, through its own functions: fingerprints of the five-word shingles, index entries of positional bytes, tallies, bits. What it links is checked on the shingles.
+Most near copies differ in 4 to 11 bits, which no number of shared bytes guarantees, so the rest is found by a set similarity join with prefix, position and
+sketch filters, all lossless: under any one order of all shingles such a pair shares one within the first fifth of each, so only those prefixes are
+indexed, as 64-bit hashes. The order is by hash with shingles of many postings last; it decides the cost, never the result.
+Each member meets one hub, the document of its postings whose prefix is shared most, which is the text that the others were copied from where there is one;
+then only members that are still in different groups are paired, so a large group of copies is not paired with itself.
 
-This is the way of the fingerprint operator (an inverted index, a guaranteed number of matches, verification) on the shingles themselves: 64-bit
-fingerprints of such pairs differ in 4 to 11 bits, which no number of shared bytes guarantees.
+A document is one row with the hashes of its prefix and some to spare; entries are (hash, row, place), and only those whose hash others
+have too ever meet a size or a sketch.
 
 Defined cases: texts are split and lowered as for fingerprints; one of fewer than five words is one shingle, a null or blank text
 the empty one; groups are connected components and ids are the smallest reached; rows without an id take no part.
@@ -26,10 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column, discard, free_name, materialize
 from .components import components
+from .simhash import majority, near_pairs
 
-SHINGLE, SEED = 5, 42
+SHINGLE = 5
 #: Shingles with more postings go last in the order, which is revised so many times at most.
 COMMON, REVISIONS = 32, 2
+#: A list has a part of its prefix, one in so many and so many more, to spare.
+SPARE = 8
+NEEDED = "size - (4 * size + 4) div 5 + 1"
+#: The factors that make hashes of shingles out of those of words.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: So many partners of one document are verified together.
 LOT = 64
 #: Words of the sketch: bit k is the parity of the hashes that end in k, so two sketches differ in no more bits than sets in shingles.
@@ -47,34 +54,73 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def prefix(text: str | None, common: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """The first hashes, of which near copies share one, the count of all, and their sketch; those in common come last."""
-    digest = xxhash.xxh64_intdigest
-    found = np.unique(np.array([digest(s, SEED) for s in shingles(text)], np.uint64).view(np.int64))
-    last = np.isin(found, common)
-    ordered = np.concatenate([found[~last], found[last]])
+def hashed(text: str | None) -> np.ndarray:
+    """A hash for each shingle of text, repeats included, made of the hashes of its words."""
+    words = text.encode().lower().split() if text else []
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(SHINGLE, len(words))
+    made = np.full(max(len(words) - SHINGLE, 0) + 1, size, np.uint64)
+    for k in range(size):
+        made = made * FACTOR + each[k : k + len(made)]
+    for shift in (33, 29, 32):
+        made = (made ^ (made >> np.uint64(shift))) * MIX
+    return made ^ (made >> np.uint64(32))
+
+
+def needed(size: int) -> int:
+    """So many shingles, the first in one order, of which near copies share one."""
+    return size - (4 * size + 4) // 5 + 1
+
+
+def listing(text: str | None, common: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Fingerprint, number of different shingles, sketch, and the first hashes in order, those in common last: what is needed and some to spare."""
+    each = hashed(text)
+    found = np.unique(each.view(np.int64))
     odd = np.bincount(found & (64 * len(SKETCH) - 1), minlength=64 * len(SKETCH)) & 1
-    return ordered[: len(found) - (4 * len(found) + 4) // 5 + 1], len(found), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    most = needed(len(found)) + needed(len(found)) // SPARE + SPARE
+    last = np.isin(found, common) if len(common) else np.zeros(len(found), bool)
+    ordered = np.concatenate([found[~last], found[last]])[:most]
+    return majority(each), len(found), np.packbits(odd.astype(np.uint8)).view(np.int64), ordered
 
 
-def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """docs (id, text) -> id, size, place and h of each shingle of a prefix."""
+def listed(docs: DataFrame, common: np.ndarray, turn: int) -> DataFrame:
+    """docs (id, text) -> a row for each: its number u, the turn, id, fp, size, sketch and first hashes, written to the shared folder."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [prefix(t, sent.value) for t in part.column(1).to_pylist()]
-                lengths = np.array([len(h) for h, _, _ in made], np.int64)
-                rows = np.repeat(np.arange(len(made)), lengths)
-                sizes = np.array([n for _, n, _ in made], np.int32)[rows]
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-                hashes, sketches = np.concatenate([h for h, _, _ in made]), np.stack([s for _, _, s in made])[rows]
-                columns = [part.column(0).take(pa.array(rows)), *map(pa.array, (sizes, places, hashes)), *(pa.array(c) for c in sketches.T.copy())]
-                yield pa.record_batch(columns, ["id", "size", "place", "h", *SKETCH])
+                made = [listing(t, sent.value) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *(len(h) for _, _, _, h in made)])
+                hs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for _, _, _, h in made])))
+                sketches = np.stack([s for _, _, s, _ in made]).T.copy()
+                columns = [part.column(0), pa.array([f for f, _, _, _ in made], pa.int64()), pa.array([n for _, n, _, _ in made], pa.int32()), *map(pa.array, sketches), hs]
+                yield pa.record_batch(columns, ["id", "fp", "size", *SKETCH, "hs"])
+
+    made = docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, fp bigint, size int, {', '.join(f'{c} bigint' for c in SKETCH)}, hs array<bigint>")
+    # a row is known by its number, which is written with it
+    return materialize(made.withColumn("u", F.monotonically_increasing_id() + F.lit(turn << 56)).withColumn("turn", F.lit(turn)), "listed")
 
-    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, size int, place int, h bigint, {', '.join(f'{c} bigint' for c in SKETCH)}")
+
+def repeated(entries: DataFrame) -> DataFrame:
+    """entries (h, u, place) -> those whose h others have too: one shuffle of small rows, in which equal ones come to lie side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = None, False  # the last row so far, and whether the one before it is like it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            h = rows.column(0).to_numpy()
+            alike = h[1:] == h[:-1]
+            keep = np.concatenate([[met], alike]) | np.concatenate([alike, [False]])
+            yield rows.slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
+            held, met = rows.slice(len(h) - 1), bool(keep[-1])
+        if held is not None and met:
+            yield held
+
+    return entries.repartition("h").sortWithinPartitions("h").mapInArrow(run, entries.schema)
 
 
 def bounded(side: DataFrame) -> DataFrame:
@@ -86,31 +132,45 @@ def semi(left: DataFrame, right: DataFrame, on: str, how: str = "left_semi") ->
     return left.join(bounded(right), on, how)
 
 
-def index(docs: DataFrame, common_postings: int, revisions: int = REVISIONS) -> DataFrame:
+def index(docs: DataFrame, lists: DataFrame, common_postings: int, revisions: int = REVISIONS) -> DataFrame:
     """The prefix entries that occur in more than one document, under one order of all shingles, and the share of its prefix that each document has here."""
-    common = np.zeros(0, np.int64)
-    entries = materialize(prefixes(docs, common), "prefixes")
-    for left in range(revisions, -1, -1):
-        counts = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "postings")
-        if not left:
-            break
+    spark, common, last = docs.sparkSession, np.zeros(0, np.int64), 0
+    entry = lambda: lists.select("u", F.posexplode("hs").alias("place", "h")).select("h", "u", "place")
+    known = lambda: bounded(spark.createDataFrame(pa.table({"h": pa.array(common), "common": pa.array(np.ones(len(common), np.int32))}).to_pandas(), "h bigint, common int"))
+    facts, shared = lists.select("u", "turn", "id", "size", *SKETCH), materialize(repeated(entry()), "shared")
+    for turn in range(1, revisions + 1):
         room = BROADCAST_ROWS - len(common)  # the rest keeps its place in the order
-        many = [r["h"] for r in counts.filter(F.col("n") > common_postings).orderBy(F.desc("n"), "h").limit(room).select("h").collect()]
-        fresh = np.setdiff1d(np.array(many, np.int64), common)
-        if not len(fresh):
+        counts = shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > common_postings)
+        if len(common):
+            counts = counts.join(known(), "h", "left_anti")
+        fresh = [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(room).select("h").collect()]
+        if not fresh:
+            break
+        common, last = np.union1d(common, np.array(fresh, np.int64)), turn
+        # these need more than they have to spare, and are listed again
+        gone = shared.join(known(), "h", "left_semi").groupBy("u").agg(F.count("*").alias("gone"))
+        short = gone.join(lists.select("u", "id", "size", F.size("hs").alias("has")), "u").filter(f"has - gone < {NEEDED}")
+        short = materialize(short.select("id").distinct(), "short")
+        if short.isEmpty():
             break
-        common = np.union1d(common, fresh)
-        moved = docs.sparkSession.createDataFrame(pa.table({"h": pa.array(fresh)}).to_pandas())
-        # a prefix without a shingle that moved stays as it is under the new order
-        touched = materialize(entries.join(F.broadcast(moved), "h", "left_semi").select("id").distinct(), "touched")
-        old = entries
-        entries = materialize(semi(old, touched, "id", "left_anti").unionByName(prefixes(semi(docs, touched, "id").select("id", "text"), common)), "prefixes")
-        discard(old, counts, touched)
+        old = shared
+        fixed = listed(semi(docs, short, "id").select("id", "text"), common, turn)
+        lists = materialize(semi(lists, short, "id", "left_anti").unionByName(fixed), "listed")
+        facts, shared = lists.select("u", "turn", "id", "size", *SKETCH), materialize(repeated(entry()), "shared")
+        discard(old, fixed, short)
+    found = shared
+    if len(common):
+        found = found.join(known(), "h", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    else:
+        found = found.withColumn("common", F.lit(0))
+    of = Window.partitionBy("u")
+    # of those that were not listed under the last order, the common ones go to the end, beyond what is needed
+    before = F.when(F.col("turn") < last, F.sum("common").over(of.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))).otherwise(0)
+    found = found.join(facts.hint("merge"), "u").withColumn("place", (F.col("place") - before).cast("int"))
+    found = found.filter(f"place < {NEEDED} and (turn = {last} or common = 0)")
     # the share of a prefix that others have too: the text that a group was copied from has most of it, an edited copy loses some
-    length = F.expr("size - (4 * size + 4) div 5 + 1")
-    shared = F.count("*").over(Window.partitionBy("id")) / length
-    found = materialize(semi(entries, counts.select("h"), "h").withColumn("shared", shared), "entries")
-    discard(entries, counts)
+    found = materialize(found.withColumn("shared", F.count("*").over(of) / F.expr(NEEDED)).select("id", "size", "place", "h", *SKETCH, "shared"), "entries")
+    discard(shared)
     return found
 
 
@@ -150,9 +210,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def hubs(entries: DataFrame) -> DataFrame:
     """entries -> (a, b): for each document b the most central document a that it shares a posting with and may be a near copy of."""
     rank = F.struct(-F.col("shared"), F.xxhash64("id"), "id").alias("rank")
-    ranked = entries.withColumn("rank", rank)
-    best = ranked.groupBy("h").agg(F.min_by(F.struct("id", "size", "place", *SKETCH, "rank"), "rank").alias("p")).select("h", "p.*")
-    met = best.alias("x").join(ranked.alias("y"), F.expr("x.h = y.h and x.id != y.id") & reachable("x", "y"))
+    y = entries.withColumn("rank", rank)
+    best = F.min(F.struct("rank", "id", "size", "place", *SKETCH)).over(Window.partitionBy("h")).alias("x")
+    met = y.select(best, F.struct("id", "size", "place", *SKETCH).alias("y")).filter(F.expr("x.id != y.id") & reachable("x", "y"))
     return met.groupBy(F.col("y.id").alias("b")).agg(F.min(F.col("x.rank")).alias("r")).select(F.col("r.id").alias("a"), "b")
 
 
@@ -161,6 +221,9 @@ def across(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
     The members of the largest group of a posting are met by the others only, never by each other."""
     placed = entries.join(bounded(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # most postings are those of one group
+    several = F.min("root").over(Window.partitionBy("h")) != F.max("root").over(Window.partitionBy("h"))
+    placed = materialize(placed.withColumn("several", several).filter("several").drop("several"), "several")
     shares = placed.groupBy("h", "root").agg(F.count("*").alias("n"))
     main = shares.groupBy("h").agg(F.min_by("root", F.struct(-F.col("n"), "root")).alias("main"), F.count("*").alias("roots"))
     placed = materialize(placed.join(bounded(main.filter("roots > 1").drop("roots")), "h"), "placed")
@@ -172,8 +235,11 @@ def across(entries: DataFrame, roots: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_postings: int = COMMON) -> DataFrame:
     """id and component_id of each row that is in a group and not its least."""
     docs = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).filter("id is not null")
-    entries = index(docs, common_postings)
-    first = materialize(verified(materialize(hubs(entries), "candidates"), docs), "verified")
+    lists = listed(docs, np.zeros(0, np.int64), 0)
+    near = near_pairs(lists.select("id", "fp"))
+    entries = index(docs, lists, common_postings)
+    first = near.unionByName(hubs(entries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    first = materialize(verified(materialize(first, "candidates"), docs), "verified")
     roots = materialize(components(first).select(F.col("node").alias("id"), "root"), "roots")
     links = materialize(verified(materialize(across(entries, roots), "candidates"), docs), "verified")
     if not links.isEmpty():

@@ -46,7 +46,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have."""
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
@@ -179,6 +183,16 @@ def near_links(distinct: DataFrame, posting: int = POSTING) -> DataFrame:
         masks = sorted({s for subs in finer.values() for s in subs})
 
 
+def near_pairs(marked: DataFrame, posting: int = POSTING) -> DataFrame:
+    """marked (id, fp) -> pairs (a, b) of ids that connect the rows whose fingerprints are within reach, for an exact check to follow."""
+    least = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    links = materialize(near_links(least.select("fp"), posting), "links").distinct()
+    ends = least.select("fp", "least")
+    between = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    alike = marked.join(least.filter("n > 1"), "fp").select(F.col("least").alias("x"), F.col("id").alias("y"))
+    return between.unionByName(alike).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
     """id, fp and component_id of each row."""
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
