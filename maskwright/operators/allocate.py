@@ -249,17 +249,23 @@ def tight_by_classes(inner: DataFrame, taken: DataFrame, facts: WidthFacts, tigh
         tokens = fresh_tokens(end - first, length, taken, alphabet, spark).withColumn("k", F.col("j") + first)
         parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token"), "k").select("value", "min_width", "token"))
     pairs = materialize(stacked(parts, spark, "value string, min_width int, token string"), "tight")
-    fixed, swapped = pairs.filter("value = token").collect(), {}
+    fixed, now = pairs.filter("value = token").collect(), {}  # now: width and present token of each pair that was changed
     for r in fixed:
-        if r["value"] in swapped:
+        value, width = r["value"], r["min_width"]
+        if value in now and now[value][1] != value:
             continue
-        fits = (F.length("token") <= r["min_width"]) & (F.col("min_width") >= len(r["token"])) & (F.col("value") != r["value"])
-        # each swap so far keeps one partner and one fixed pair from being chosen again
+        fits = (F.length("token") <= width) & (F.col("min_width") >= len(value)) & (F.col("value") != value)
+        # each swap so far changed two pairs, so one that was not is among these if there is any; a changed one counts with its present token
         others = pairs.filter(fits).orderBy(F.col("value") != F.col("token")).limit(2 * len(fixed) + 1).collect()
-        other = next((o for o in others if o["value"] not in swapped), None)
-        if other is None:
-            raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE")
-        swapped[r["value"]], swapped[other["value"]] = other["token"], r["token"]
+        found = [(o["value"], o["min_width"], o["token"]) for o in others if o["value"] not in now]
+        found += [(o, w, t) for o, (w, t) in now.items() if o != value and len(t) <= width and w >= len(value)]
+        if found:
+            other, room, token = found[0]
+            now[other] = (room, value)
+        else:
+            token = spare_token(pairs, now, taken, width, alphabet)
+        now[value] = (width, token)
+    swapped = {v: t for v, (_, t) in now.items()}
     pairs = pairs.select("value", "token")
     if not swapped:
         return pairs
@@ -267,6 +273,19 @@ def tight_by_classes(inner: DataFrame, taken: DataFrame, facts: WidthFacts, tigh
     return pairs.join(F.broadcast(new.select("value")), "value", "left_anti").unionByName(new)
 
 
+def spare_token(pairs: DataFrame, now: dict[str, tuple[int, str]], taken: DataFrame, width: int, alphabet: str) -> str:
+    """A random token of at most that length which nobody has: neither taken, nor in pairs as changed by now."""
+    spark = pairs.sparkSession
+    changed = spark.createDataFrame([(v, t) for v, (_, t) in now.items()], "value string, token string")
+    held = pairs.select("value", "token").join(F.broadcast(changed.select("value")), "value", "left_anti").select("token")
+    held = materialize(held.unionByName(changed.select("token")).unionByName(taken.select("token")), "held")
+    count = {r[0]: r[1] for r in held.groupBy(F.length("token")).agg(F.count("*")).collect()}
+    for length in range(1, width + 1):
+        if count.get(length, 0) < len(alphabet) ** length:
+            return fresh_tokens(1, length, held, alphabet, spark).first()["token"]
+    raise EngineError("MAPPING_CONSTRAINT_INFEASIBLE")
+
+
 def numeric_feasible(low: int, high: int, originals: int, occupied: int, own_free: int) -> bool:
     """Free numbers for all, and a second one where an original could only get itself."""
     free = high - low + 1 - occupied

@@ -343,6 +343,21 @@ def test_tight_domains_keep_their_alphabet_at_any_size(spark, monkeypatch):
         assert all(set(t) <= set("ABC") and t != v and len(t) <= dict(rows)[v] for v, t in found.items())
 
 
+def test_tight_domains_that_all_met_themselves(spark, monkeypatch):
+    def in_order(count, length, blocked, alphabet, spark):
+        used = {r["token"] for r in blocked.select("token").collect()}
+        made = [t for t in map("".join, itertools.product(alphabet, repeat=length)) if t not in used]
+        return spark.createDataFrame(list(enumerate(made[:count])), "j long, token string")
+
+    monkeypatch.setattr(allocate, "TIGHT", 0)
+    monkeypatch.setattr(allocate, "fresh_tokens", in_order)
+    # an odd number of them, whose last one meets only pairs that were changed; and a lone one, which only a free token helps
+    for rows in ([("A", 1), ("B", 1), ("C", 1)], [("A", 1), ("B", 9), ("C", 9)]):
+        observed = spark.createDataFrame(rows, "value string, min_width int")
+        found = {r["value"]: r["token"] for r in allocate.allocate_text(observed, spark.createDataFrame([], PAIRS), "ABC").collect()}
+        assert len(found) == len(set(found.values())) == 3 and all(t != v and len(t) <= dict(rows)[v] for v, t in found.items())
+
+
 def test_many_fixed_points_are_passed_on(spark):
     pairs = spark.createDataFrame([(str(k), str(k)) for k in range(1500)] + [("9999", "5000")], PAIRS)
     found = {r["value"]: r["token"] for r in allocate.without_fixed_points(pairs, spark.createDataFrame([], "token string"), 0, 9999).collect()}
