@@ -202,7 +202,7 @@ def allocate_text(observed: DataFrame, mapped: DataFrame, alphabet: str = ALPHAB
     parts = []
     for length, first, end in length_classes(facts, needed):
         tokens = fresh_tokens(end - first, length, blocked, alphabet, spark).withColumn("k", F.col("j") + first)
-        parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token"), "k").select("value", "token"))
+        parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token").hint("merge"), "k").select("value", "token"))
     return done.unionByName(stacked(parts, spark, "value string, token string"))
 
 
@@ -247,7 +247,7 @@ def tight_by_classes(inner: DataFrame, taken: DataFrame, facts: WidthFacts, tigh
     ranked, parts = dense_index(inner, "min_width", F.encode("value", "UTF-8")), []
     for length, first, end in length_classes(own, sum(own.originals.values())):
         tokens = fresh_tokens(end - first, length, taken, alphabet, spark).withColumn("k", F.col("j") + first)
-        parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token"), "k").select("value", "min_width", "token"))
+        parts.append(ranked.filter(F.col("k").between(first, end - 1)).join(tokens.select("k", "token").hint("merge"), "k").select("value", "min_width", "token"))
     pairs = materialize(stacked(parts, spark, "value string, min_width int, token string"), "tight")
     fixed, now = pairs.filter("value = token").collect(), {}  # now: width and present token of each pair that was changed
     for r in fixed:
@@ -316,7 +316,7 @@ def allocate_numeric(observed: DataFrame, mapped: DataFrame, low: int, high: int
     taken = materialize(taken, "blocked")
     ranked = dense_index(rest, "value").select("k", "value")
     free = fresh_numbers(needed, low, high, taken, spark)
-    pairs = materialize(ranked.join(free.withColumnRenamed("j", "k"), "k").select("value", "token"), "pairs")
+    pairs = materialize(ranked.join(free.withColumnRenamed("j", "k").hint("merge"), "k").select("value", "token"), "pairs")
     return done.select("value", "token").unionByName(pairs if room >= needed else without_fixed_points(pairs, taken, low, high))
 
 

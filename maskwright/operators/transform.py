@@ -40,6 +40,8 @@ def looked_up(df: DataFrame, column: str, mapping: DataFrame, key: str, value: s
     salt = F.pmod(F.xxhash64(place), F.lit(SALTS)) if place else F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS))
     pairs = pairs.withColumn(f"{out}_salt", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS)))))
     left = df.withColumn("_salt", salt)
+    # else Spark goes by the size of the files, which knows nothing of salts, and sends all of it through the driver
+    pairs = pairs.hint("merge")
     return left.join(pairs, (left[column] == F.col(f"{out}_key")) & (left["_salt"] == F.col(f"{out}_salt")), "left").drop(f"{out}_key", f"{out}_salt", "_salt")
 
 
@@ -97,7 +99,7 @@ def with_memos(table: Table, df: DataFrame, table_id: str, plans: list[FieldPlan
     wide = own.groupBy(F.col("physical_record_index").alias("_at")).agg(
         *(F.max(F.when(F.col("field_id") == field_ids[n], F.col("original_payload"))).alias(f"_memo_{n}") for n in masked)
     )
-    joined = df.join(wide, F.col(INDEX) == F.col("_at"), "left")
+    joined = df.join(wide.hint("merge"), F.col(INDEX) == F.col("_at"), "left")
     kinds, out = dict(df.dtypes), {}
     for n in masked:
         stored = F.col(f"_memo_{n}")

@@ -9,13 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import tokens, values
-from maskwright.operators import allocate, evidence, ranks
+from maskwright.operators import allocate, evidence, ranks, transform
+from maskwright.operators.transform import FieldPlan
 from maskwright.plans import engine
 from maskwright.plans.errors import EngineError
 from maskwright.plans.policy import resolve_policy, unique_json
 from maskwright.plans.relations import assurance_level, numeric_domains, parse_document, relative_path
-from maskwright.plans.schema import FieldFact, classify_field
-from maskwright.sources.shared import Files
+from maskwright.plans.schema import MASKED, PSEUDONYMIZE, FieldFact, Table, classify_field
+from maskwright.sources.shared import Files, materialize
 from maskwright.sources.vault import Vault
 
 
@@ -358,6 +359,19 @@ def test_tight_domains_that_all_met_themselves(spark, monkeypatch):
         assert len(found) == len(set(found.values())) == 3 and all(t != v and len(t) <= dict(rows)[v] for v, t in found.items())
 
 
+def test_large_mappings_and_memos_are_not_broadcast(spark):
+    facts = (FieldFact("name", "C", 9), FieldFact("note", "M", 9))
+    table = Table("t", spark.createDataFrame([("a", "x", 0), ("b", None, 1)], "name string, note string, _physical_index long"), facts)
+    plans = [FieldPlan("t", facts[0], PSEUDONYMIZE, "text"), FieldPlan("t", facts[1], MASKED)]
+    text = materialize(spark.createDataFrame([("a", "p"), ("b", "q")], "original_value string, pseudonym_value string"), "text")
+    memos = materialize(transform.memo_rows(table, "t", plans, {"note": "f"}), "memos")
+    out = transform.rewrite(table, plans, text, text, None, small=False)
+    back = transform.with_memos(table, transform.rewrite(table.with_df(out), plans, text, text, None, small=False, back=True), "t", plans, {"note": "f"}, memos)
+    for df in (out, back):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, back.collect())) == [("a", "x", 0), ("b", None, 1)]
+
+
 def test_many_fixed_points_are_passed_on(spark):
     pairs = spark.createDataFrame([(str(k), str(k)) for k in range(1500)] + [("9999", "5000")], PAIRS)
     found = {r["value"]: r["token"] for r in allocate.without_fixed_points(pairs, spark.createDataFrame([], "token string"), 0, 9999).collect()}
