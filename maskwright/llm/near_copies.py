@@ -133,7 +133,9 @@ def semi(left: DataFrame, right: DataFrame, on: str, how: str = "left_semi") ->
 
 
 def index(docs: DataFrame, lists: DataFrame, common_postings: int, revisions: int = REVISIONS) -> DataFrame:
-    """The prefix entries that occur in more than one document, under one order of all shingles, and the share of its prefix that each document has here."""
+    """The prefix entries that occur in more than one document, under one order of all shingles, and the share of its prefix that each document has here.
+
+    lists are deleted."""
     spark, common, last = docs.sparkSession, np.zeros(0, np.int64), 0
     entry = lambda: lists.select("u", F.posexplode("hs").alias("place", "h")).select("h", "u", "place")
     known = lambda: bounded(spark.createDataFrame(pa.table({"h": pa.array(common), "common": pa.array(np.ones(len(common), np.int32))}).to_pandas(), "h bigint, common int"))
@@ -153,11 +155,11 @@ def index(docs: DataFrame, lists: DataFrame, common_postings: int, revisions: in
         short = materialize(short.select("id").distinct(), "short")
         if short.isEmpty():
             break
-        old = shared
+        old, former = shared, lists
         fixed = listed(semi(docs, short, "id").select("id", "text"), common, turn)
         lists = materialize(semi(lists, short, "id", "left_anti").unionByName(fixed), "listed")
         facts, shared = lists.select("u", "turn", "id", "size", *SKETCH), materialize(repeated(entry()), "shared")
-        discard(old, fixed, short)
+        discard(old, former, fixed, short)
     found = shared
     if len(common):
         found = found.join(known(), "h", "left").withColumn("common", F.coalesce("common", F.lit(0)))
@@ -170,7 +172,7 @@ def index(docs: DataFrame, lists: DataFrame, common_postings: int, revisions: in
     found = found.filter(f"place < {NEEDED} and (turn = {last} or common = 0)")
     # the share of a prefix that others have too: the text that a group was copied from has most of it, an edited copy loses some
     found = materialize(found.withColumn("shared", F.count("*").over(of) / F.expr(NEEDED)).select("id", "size", "place", "h", *SKETCH, "shared"), "entries")
-    discard(shared)
+    discard(shared, lists)
     return found
 
 
@@ -216,6 +218,21 @@ def hubs(entries: DataFrame) -> DataFrame:
     return met.groupBy(F.col("y.id").alias("b")).agg(F.min(F.col("x.rank")).alias("r")).select(F.col("r.id").alias("a"), "b")
 
 
+def candidates(pairs: DataFrame, *used: DataFrame) -> DataFrame:
+    """The pairs, written; the tables they were made from, and their shuffle files, go before texts are moved."""
+    found = materialize(pairs, "candidates")
+    del pairs  # what is referred to keeps its shuffle files
+    discard(*used)
+    return found
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are near copies, written; those given are deleted."""
+    found = materialize(verified(pairs, docs), "verified")
+    discard(pairs)
+    return found
+
+
 def across(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """entries, roots (id, root) -> (a, b): all pairs of a posting that may be near copies and are not in one group yet.
 
@@ -236,12 +253,12 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id and component_id of each row that is in a group and not its least."""
     docs = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).filter("id is not null")
     lists = listed(docs, np.zeros(0, np.int64), 0)
-    near = near_pairs(lists.select("id", "fp"))
+    near = materialize(near_pairs(lists.select("id", "fp")), "near")
     entries = index(docs, lists, common_postings)
-    first = near.unionByName(hubs(entries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    first = materialize(verified(materialize(first, "candidates"), docs), "verified")
+    met = hubs(entries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = confirmed(candidates(near.unionByName(met).distinct(), near), docs)
     roots = materialize(components(first).select(F.col("node").alias("id"), "root"), "roots")
-    links = materialize(verified(materialize(across(entries, roots), "candidates"), docs), "verified")
+    links = confirmed(candidates(across(entries, roots), entries), docs)
     if not links.isEmpty():
         # links of groups instead of members: the components are the same, and a large group has few
         of = bounded(roots)

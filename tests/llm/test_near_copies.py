@@ -69,3 +69,17 @@ def test_group_whose_copies_are_like_their_origin_only(spark):
     sets = [plain_shingles(t) for t in texts]
     assert sum(len(sets[0] & s) < 0.8 * len(sets[0] | s) for s in sets) > 100 and len(expected) == 180
     assert {r["id"]: r["component_id"] for r in near_copy_groups(docs(spark, texts)).collect()} == expected
+
+
+def test_tables_in_between_are_deleted(spark):
+    from pathlib import Path
+
+    from maskwright.llm.near_copies import near_copy_groups
+    from maskwright.sources.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    large = lambda: {p.name for p in folder.iterdir() if p.name.split("-")[0] in ("listed", "shared", "entries", "candidates", "near")}
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40)) + f" end{k}") for k in range(8)], "doc_id long, text string")
+    before = large()
+    assert {r["component_id"] for r in near_copy_groups(docs, common_postings=2).collect()} == {0}
+    assert large() <= before
